@@ -17,7 +17,7 @@ from polyfold.llm import common as C
 from polyfold.llm import stats as S
 
 #: Features whose growth may only lower the score (-1).
-FALLING = {"symbols": -1, "upper": -1, "exclaim": -1, "bars": -1, "repeats": -1, "dup_lines": -1}
+FALLING = {"symbols": -1, "upper": -1, "exclaim": -1, "bars": -1, "repeats": -1, "dup_lines": -1, "echoes": -1}
 #: At most so many labelled rows are fitted on: those with the smallest hashes of their ids.
 SAMPLE_ROWS = 20_000
 

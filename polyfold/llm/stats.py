@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from polyfold.llm import common as C
 
 SYMBOLS = b"#*$%&|<>"
-FEATURES = ["log_words", "word_chars", "symbols", "upper", "exclaim", "bars", "repeats", "dup_lines", "digits", "non_ascii", "line_words", "stops"]
+FEATURES = ["log_words", "word_chars", "symbols", "upper", "exclaim", "bars", "repeats", "dup_lines", "digits", "non_ascii", "line_words", "stops", "echoes"]
 SCHEMA = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, features array<double>"
 
 
@@ -38,9 +38,12 @@ def document_stats(data: np.ndarray, offs: np.ndarray) -> dict[str, np.ndarray]:
     s = C.prefix(data)
     # Words in five-word windows that are found twice or more.
     repeated = np.zeros(n)
+    echoes = np.zeros(n)
+    doc, h = C.owner(first), C.span_hash(s, starts, ends)
+    if len(starts) >= 2:
+        echoes = np.bincount(doc[1:], weights=(h[1:] == h[:-1]) & (doc[1:] == doc[:-1]), minlength=n)
     if len(starts) >= 5:
-        h = C.grams(C.span_hash(s, starts, ends), 5)
-        doc = C.owner(first)
+        h = C.grams(h, 5)
         at = np.flatnonzero(doc[: len(h)] == doc[4:])
         if len(at):
             key = C.mix(h[at] ^ (doc[at].astype(C.U64) * C.U64(0x9E3779B97F4A7C15)))
@@ -72,7 +75,7 @@ def document_stats(data: np.ndarray, offs: np.ndarray) -> dict[str, np.ndarray]:
         again = np.concatenate([[False], key[order][1:] == key[order][:-1]])
         dup = np.bincount(d[order[again]], minlength=n).astype(float)
     w, chars = np.maximum(n_words, 1), np.maximum(points - sep, 1)
-    features = np.stack([np.log1p(n_words), np.log1p((points - sep) / w), sym / chars, upper / np.maximum(letters, 1), bang / w, bar / w, repeated / w, dup / np.maximum(lines, 1), digit / chars, high / chars, np.log1p(n_words / np.maximum(lines, 1)), stop / w], 1)
+    features = np.stack([np.log1p(n_words), np.log1p((points - sep) / w), sym / chars, upper / np.maximum(letters, 1), bang / w, bar / w, repeated / w, dup / np.maximum(lines, 1), digit / chars, high / chars, np.log1p(n_words / np.maximum(lines, 1)), stop / w, echoes / w], 1)
     as_long = lambda x: x.astype(np.int64)
     return {"n_words": as_long(n_words), "word_chars": as_long(points - sep), "n_symbols": as_long(sym), "n_dup_lines": as_long(dup), "n_repeat_words": as_long(repeated), "features": features}
 
