@@ -192,3 +192,40 @@ def components(edges: DataFrame, spark: SparkSession) -> DataFrame:
         if same:
             break
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).union(e.select(F.col("v"), F.col("v")).distinct().toDF("node", "component"))
+
+
+def runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
+    """Whole groups of rows that agree in keys, from batches in which equal keys stand together.
+
+    Yields tables of one or more whole groups; only the group at a batch's end is carried over, so memory
+    is bounded by a batch and the largest group.
+    """
+    held: list[pa.Table] = []
+    for batch in batches:
+        t = pa.Table.from_batches([batch])
+        if not t.num_rows:
+            continue
+        change = np.zeros(t.num_rows, bool)
+        for k in keys:
+            x = t[k].combine_chunks().to_numpy(zero_copy_only=False)
+            change[1:] |= x[1:] != x[:-1]
+        last = int(np.flatnonzero(change)[-1]) if change.any() else 0
+        if held and any(held[-1][k][-1].as_py() != t[k][0].as_py() for k in keys):
+            yield pa.concat_tables(held)
+            held = []
+        if last:
+            yield pa.concat_tables([*held, t.slice(0, last)])
+            held = []
+        held.append(t.slice(last))
+    if held:
+        yield pa.concat_tables(held)
+
+
+def group_bounds(t: pa.Table, keys: list[str]) -> np.ndarray:
+    """First rows of the groups of t, and its number of rows."""
+    change = np.zeros(t.num_rows, bool)
+    change[:1] = True
+    for k in keys:
+        x = t[k].combine_chunks().to_numpy(zero_copy_only=False)
+        change[1:] |= x[1:] != x[:-1]
+    return np.append(np.flatnonzero(change), t.num_rows)
