@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from polyfold.llm import decontam, langid, lm_score, mixing, near_dedup, quality_classifier, quality_rules, url_filter
+from polyfold.llm import decontam, langid, lm_score, mixing, near_dedup, quality_classifier, quality_rules, suffix_dedup, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +18,10 @@ def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(_table(spark, sf_dir, "documents"), k=2, percent=80)
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.repeated_bytes(_table(spark, sf_dir, "documents"), length=200)
+
+
 def op4_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_score.score_documents(_table(spark, sf_dir, "documents"))
 
@@ -55,7 +59,7 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_near_dedup, op4_lm_score, op5_decontamination, op6_quality_rules, op7_url_filter, op8_mixing, op9_language_id, op10_quality_classifier)}
+    return {f.__name__: f for f in (op1_near_dedup, op2_suffix_dedup, op4_lm_score, op5_decontamination, op6_quality_rules, op7_url_filter, op8_mixing, op9_language_id, op10_quality_classifier)}
 
 
 OP8_SQL = r"""
