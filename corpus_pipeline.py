@@ -1,4 +1,8 @@
-"""A corpus pipeline of five stages, each one of the operators of polyfold.llm."""
+"""A corpus pipeline of five stages, each one of the operators of polyfold.llm.
+
+Quality classifier, near-duplicates, decontamination and mixing return rows in the columns of documents; the
+last stage writes the mix as range-coded token ids and returns what the files hold of each document.
+"""
 
 from __future__ import annotations
 
@@ -6,14 +10,30 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from polyfold.llm import common as C
-from polyfold.llm import mixing, quality_classifier
+from polyfold.llm import decontam, mixing, near_dedup, quality_classifier, token_output
+
+
+def _without(docs: DataFrame, out: DataFrame) -> DataFrame:
+    """docs without the ids in out's doc_id."""
+    ids = out.select(F.col("doc_id").alias("_out")).where("_out is not null").distinct()
+    return docs.join(ids, docs["doc_id"] == F.col("_out"), "left_anti").select(*[docs[c] for c in docs.columns])
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier accepts. Labels are learned from labels of the documents given."""
+    """Drops the documents that the quality classifier rejects; it learns from the labels of the documents given."""
     scores = quality_classifier.classify(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    rejected = scores.where("predicted = 0").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(rejected, docs["doc_id"].eqNullSafe(F.col("_id")), "left_anti").select(docs.columns)
+    return _without(docs, scores.where("predicted = 0"))
+
+
+def deduplicated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates, the one with the smallest id (five words, similarity 0.8)."""
+    return _without(docs, near_dedup.near_duplicates(docs, k=5, percent=80).where("not kept"))
+
+
+def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops the documents in which a benchmark item is found within its error budget."""
+    hits = decontam.contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return _without(docs, hits)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -21,7 +41,19 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.mix(docs)
 
 
-STAGES = [("quality classifier", quality), ("mixing", mixed)]
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, start, n_tokens and ids_crc32 of each row, read back from the written segments."""
+    return token_output.token_files(docs)
+
+
+STAGES = [
+    ("quality classifier", quality),
+    ("minhash near-dedup", deduplicated),
+    ("benchmark decontamination", decontaminated),
+    ("mixing sources", mixed),
+    ("token output", tokens),
+]
+#: Fourier features, signatures and tokenizers are beyond SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from polyfold.llm import decontam, langid, lm_score, mixing, near_dedup, quality_classifier, quality_rules, suffix_dedup, url_filter
+from polyfold.llm import decontam, langid, lm_score, mixing, near_dedup, quality_classifier, quality_rules, suffix_dedup, token_output, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,6 +22,10 @@ def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.repeated_bytes(_table(spark, sf_dir, "documents"), length=200)
 
 
+def op3_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_output.token_files(_table(spark, sf_dir, "documents"))
+
+
 def op4_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_score.score_documents(_table(spark, sf_dir, "documents"))
 
@@ -47,11 +51,7 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return identify_columns(langid.identify(_table(spark, sf_dir, "documents")))
-
-
-def identify_columns(df: DataFrame) -> DataFrame:
-    return df.select("doc_id", "held_out", "lang_pred", "score", "rejected")
+    return langid.identify(_table(spark, sf_dir, "documents"))
 
 
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,7 +59,7 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_near_dedup, op2_suffix_dedup, op4_lm_score, op5_decontamination, op6_quality_rules, op7_url_filter, op8_mixing, op9_language_id, op10_quality_classifier)}
+    return {f.__name__: f for f in (op1_near_dedup, op2_suffix_dedup, op3_token_output, op4_lm_score, op5_decontamination, op6_quality_rules, op7_url_filter, op8_mixing, op9_language_id, op10_quality_classifier)}
 
 
 OP8_SQL = r"""
