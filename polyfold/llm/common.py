@@ -19,6 +19,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 U64 = np.uint64
+#: Rows that reach Python at once where texts do.
+ROWS_PER_BATCH = 2000
 #: Bytes of text handled at once; a longer document is a piece of its own.
 PIECE_BYTES = 2 << 20
 _rng = np.random.default_rng(20240607)
@@ -145,7 +147,13 @@ def scratch_dir(spark: SparkSession) -> str:
 def written(df: DataFrame, spark: SparkSession) -> DataFrame:
     """df as a Parquet table in the shared folder: lineage ends here and lost executors cost no recomputation."""
     path = f"{scratch_dir(spark)}/polyfold-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(min(int(before), ROWS_PER_BATCH)))  # rows may be long texts
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(key, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._polyfold_path = path
     return out

@@ -153,8 +153,8 @@ def _edges(around: DataFrame, length: int) -> DataFrame:
     return small.mapInArrow(in_groups, "tid long, a long, b long").union(large)
 
 
-def _cut(spans: DataFrame, texts: DataFrame) -> DataFrame:
-    """k1, k2, n_removed, n_spans, kept_sha256, kept of texts from the spans (tid, a, b) to remove."""
+def _cut(spans: DataFrame, texts: DataFrame, with_text: bool) -> DataFrame:
+    """k1, k2, n_removed, n_spans, kept_sha256 (and kept) of texts from the spans (tid, a, b) to remove."""
     per_text = spans.groupBy("tid").agg(F.collect_set(F.struct("a", "b")).alias("s"))
     both = per_text.join(texts.select("tid", "k1", "k2", "text"), "tid").select("k1", "k2", "text", F.col("s.a").alias("a"), F.col("s.b").alias("b"))
 
@@ -171,7 +171,7 @@ def _cut(spans: DataFrame, texts: DataFrame) -> DataFrame:
             out["n_removed"].append(int((stop - start).sum()))
             out["n_spans"].append(len(head))
             out["kept_sha256"].append(hashlib.sha256(kept).hexdigest())
-            out["kept"].append(kept)
+            out["kept"].append(kept if with_text else None)
         yield out | {"k1": batch.column("k1"), "k2": batch.column("k2")}
 
     return C.arrow_map(both, run, "k1 long, k2 long, n_removed long, n_spans long, kept_sha256 string, kept binary")
@@ -200,6 +200,7 @@ def repeated_bytes(docs: DataFrame, length: int = 200, with_text: bool = False,
     one = Window.partitionBy("rank")
     ranks = pairs.withColumn("all", F.sum("c").over(one)).withColumn("k", F.count("*").over(one)).withColumn("edge", F.min("c").over(one) == 1).where("all > 1")
     ranks = C.written(ranks.select(F.col("rank").alias("r"), F.col("run").alias("u"), (F.col("c") > 1).alias("settled"), "k", "edge"), spark)
+    C.release(spark)
     found = anchors.join(ranks, (F.col("rank") == F.col("r")) & (F.col("run") == F.col("u"))).where("edge or not many").select("rank", "run", "tid", "many", "at", "settled", "k", "edge")
     found = C.written(found, spark)
     C.discard(anchors, ranks)
@@ -208,11 +209,14 @@ def repeated_bytes(docs: DataFrame, length: int = 200, with_text: bool = False,
     partners = found.where("edge and settled").dropDuplicates(["rank", "run"]).withColumn("ask", F.lit(False))
     asked = found.where("edge and not settled").withColumn("ask", ~F.col("many"))
     wanted = asked.union(partners).select("rank", "k", "tid", "at", "ask")
-    edges = C.written(_edges(_surroundings(wanted, texts, length), length), spark)
+    around = C.written(_surroundings(wanted, texts, length), spark)
+    C.release(spark)
+    edges = C.written(_edges(around, length), spark)
+    C.discard(around)
     C.release(spark)
     a = F.shiftright("at", 32)
     settled = found.where("settled and not many").select("tid", (a - F.shiftright("at", 16).bitwiseAND(0xFFFF)).alias("a"), (a - F.col("at").bitwiseAND(0xFFFF) + length).alias("b"))
-    cut = _cut(settled.union(edges), texts)
+    cut = _cut(settled.union(edges), texts, with_text)
     if not with_text:
         cut = cut.drop("kept")
     cut = C.written(cut, spark)
