@@ -175,15 +175,55 @@ def release(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
+#: Edges, after each partition's own contraction, that one task may join up.
+SMALL_EDGES = 200_000
+
+
+def forest(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The nodes of edges and, for each, the smallest node it is connected with."""
+    ids, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+    a, b = at[: len(u)], at[len(u) :]
+    label = np.arange(len(ids))
+    while True:
+        la, lb = label[a], label[b]
+        low = np.minimum(la, lb)
+        if (la == lb).all():
+            return ids, ids[label]
+        np.minimum.at(label, la, low)
+        np.minimum.at(label, lb, low)
+        while (label[label] != label).any():
+            label = label[label]
+
+
+def _contract(edges: DataFrame, roots: bool) -> DataFrame:
+    """u, v: the edges of each partition as stars around their smallest nodes; with roots, also those themselves."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches]
+        if t:
+            node, low = forest(np.concatenate([x for x, _ in t]), np.concatenate([y for _, y in t]))
+            some = np.ones(len(node), bool) if roots else node != low
+            yield pa.RecordBatch.from_pydict({"u": pa.array(node[some], pa.int64()), "v": pa.array(low[some], pa.int64())})
+
+    return edges.mapInArrow(run, "u long, v long")
+
+
 def components(edges: DataFrame, spark: SparkSession) -> DataFrame:
-    """Connected components by alternating large-star and small-star steps.
+    """Connected components: node, component (the smallest node reachable), each node once. edges: columns a, b.
 
-    edges: columns a, b. Returns node, component (the smallest node reachable), each node once. Every
-    round is two aggregations written to the shared folder; labels and edges never reach the driver.
-    The minimum of each node's neighbours is pre-aggregated before its shuffle, so a hub costs no hot
-    task there, and the join back is one that adaptive execution can split.
+    Each partition first contracts its own edges to stars. If at most SMALL_EDGES are left (they are counted),
+    one executor task joins them up. Else large-star and small-star steps alternate, written to the shared
+    folder, until nothing changes: the smallest neighbour of a node is pre-aggregated before its shuffle, and
+    the join back is one that adaptive execution can split at a hub. Nothing but counts reaches the driver.
     """
-    e = written(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), spark)
+    e = written(_contract(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v"), False), spark)
+    if e.count() <= SMALL_EDGES:
+        out = written(_contract(e.coalesce(1), True), spark)
+        discard(e)
+        return out.toDF("node", "component")
+    # Done when a step changes nothing: the edges are then stars whose centres are the smallest nodes.
+    state = lambda df: df.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0).cast("decimal(38,0)"))).first()
+    before = None
     while True:
         both = e.select("u", "v").union(e.select(F.col("v"), F.col("u")).toDF("u", "v"))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), F.least("m", "u").alias("m"))
@@ -192,13 +232,12 @@ def components(edges: DataFrame, spark: SparkSession) -> DataFrame:
         small = large.join(low, F.col("u") == F.col("k"))
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).union(small.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
         new = written(small, spark)
-        # Done when the step changed nothing: the edges are then stars whose centres are the smallest nodes.
-        n = lambda df: df.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0).cast("decimal(38,0)"))).first()
-        same = n(e) == n(new)
         discard(e)
-        e = new
-        if same:
+        e, after = new, state(new)
+        release(spark)
+        if before == after:
             break
+        before = after
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).union(e.select(F.col("v"), F.col("v")).distinct().toDF("node", "component"))
 
 

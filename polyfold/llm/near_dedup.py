@@ -7,9 +7,11 @@
 3. Survivors are verified on their full sets, and links become connected components.
 
 A bucket's pairs are never all emitted. First each class is verified against one leader, the smallest class
-of a bucket it shares most bands with; that joins nearly all members of a hot bucket. Whatever buckets then
-still hold several components are compared across components, in bounded blocks of rows whose pairs stay
-inside numpy. So no link between buckets' members is lost, and no bucket meets in one task.
+of a bucket it shares most bands with. Buckets that still hold several components are then compared across
+components, in bounded blocks of rows whose pairs stay inside numpy: in the first rounds each row gives its
+best pair only, which joins most of a hot group; the last round gives every plausible pair between
+components that are left, each from the first bucket it shares. So no link between buckets' members is lost,
+and no bucket meets in one task.
 """
 
 from __future__ import annotations
@@ -28,8 +30,10 @@ BANDS = HASHES // ROWS
 MISS = 1e-6
 #: Hashes that are compared at a time.
 BATCH = 32
-#: Rows of a block in the second round.
+#: Rows of a block of a bucket.
 BLOCK = 512
+#: Rounds of best pairs, at most, before the round of all pairs.
+BEST_ROUNDS = 1
 _rng = np.random.default_rng(8128)
 _A = _rng.integers(0, 2**31, HASHES, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 _B = _rng.integers(0, 2**32, HASHES, dtype=np.uint32)
@@ -81,7 +85,7 @@ def least_matches(threshold: float, miss: float = MISS) -> np.ndarray:
 
 
 def plausible(a: np.ndarray, b: np.ndarray, least: np.ndarray) -> np.ndarray:
-    """Which rows of signature bytes a and b survive every batch."""
+    """Which rows of signatures a and b survive every batch."""
     alive = np.arange(len(a))
     matches = np.zeros(len(a), np.int64)
     for step, need in enumerate(least):
@@ -94,11 +98,13 @@ def plausible(a: np.ndarray, b: np.ndarray, least: np.ndarray) -> np.ndarray:
     return out
 
 
-def _bytes2d(x: pa.ChunkedArray | pa.Array, width: int) -> np.ndarray:
+def _signatures(x: pa.ChunkedArray | pa.Array) -> np.ndarray:
     x = x.combine_chunks() if isinstance(x, pa.ChunkedArray) else x
     x = x.cast(pa.large_binary())
+    if not len(x):
+        return np.zeros((0, HASHES), np.uint16)
     offs = np.frombuffer(x.buffers()[1], np.int64)[x.offset : x.offset + len(x) + 1]
-    return np.frombuffer(x.buffers()[2], np.uint8)[offs[0] : offs[-1]].reshape(len(x), width) if len(x) else np.zeros((0, width), np.uint8)
+    return np.frombuffer(x.buffers()[2], np.uint8)[offs[0] : offs[-1]].view(np.uint16).reshape(len(x), HASHES)
 
 
 def _numpy(x: pa.ChunkedArray | pa.Array) -> np.ndarray:
@@ -106,52 +112,88 @@ def _numpy(x: pa.ChunkedArray | pa.Array) -> np.ndarray:
 
 
 def features(docs: DataFrame, k: int) -> DataFrame:
-    """doc_id, n (set size), k1 and k2 (128 bits that identify the set), sig (low bytes of the signature), keys (of the bands)."""
+    """doc_id, n (set size), k1 and k2 (128 bits that identify the set), sig (the signature, 16 bits a hash)."""
 
     def run(batch: pa.RecordBatch):
         for i, j, data, offs in C.pieces(batch.column(1)):
             sets = shingle_sets(data, offs, k)
             n = np.array([len(s) for s in sets], np.int64)
-            sig = np.stack([signature(s) for s in sets])
-            keys = sig.reshape(len(sets), BANDS, ROWS).astype(C.U64)
-            key = np.broadcast_to(np.arange(BANDS, dtype=C.U64), keys.shape[:2]).copy()
-            for c in range(ROWS):
-                key = C.mix(key * C.U64(0x9E3779B97F4A7C15) + keys[:, :, c])
+            sig = np.stack([signature(s) for s in sets]).astype(np.uint16)
             ids = [np.array([f(s).sum(dtype=C.U64) for s in sets], C.U64).view(np.int64) for f in (C.mix, lambda s: C.mix(s ^ C.U64(0x5DEECE66D)))]
-            yield {
-                "doc_id": batch.column(0).slice(i, j - i), "n": n, "k1": ids[0], "k2": ids[1],
-                "sig": pa.array([x.tobytes() for x in (sig & np.uint32(255)).astype(np.uint8)], pa.binary()),
-                "keys": pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1) * BANDS, pa.int32()), pa.array(key.ravel().view(np.int64))),
-            }
+            yield {"doc_id": batch.column(0).slice(i, j - i), "n": n, "k1": ids[0], "k2": ids[1], "sig": pa.array([x.tobytes() for x in sig], pa.binary())}
 
-    return C.arrow_map(docs, run, "doc_id long, n long, k1 long, k2 long, sig binary, keys array<long>")
+    return C.arrow_map(docs, run, "doc_id long, n long, k1 long, k2 long, sig binary")
 
 
-def verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full shingle sets satisfy 100 * intersection >= percent * union."""
-    members = pairs.select(F.explode(F.array("a", "b")).alias("_id")).distinct()
-    some = docs.join(members, docs["doc_id"] == F.col("_id"), "left_semi")
+def bands(reps: DataFrame) -> DataFrame:
+    """key, band, rep: the buckets of each class."""
+
+    def run(batch: pa.RecordBatch):
+        sig = _signatures(batch.column("sig")).reshape(-1, BANDS, ROWS).astype(C.U64)
+        key = np.broadcast_to(np.arange(BANDS, dtype=C.U64), sig.shape[:2])
+        for c in range(ROWS):
+            key = C.mix(key * C.U64(0x9E3779B97F4A7C15) + sig[:, :, c])
+        for i in range(0, len(sig), 1024):
+            k = key[i : i + 1024]
+            yield {"key": k.ravel().view(np.int64), "band": np.tile(np.arange(BANDS, dtype=np.int32), len(k)), "rep": np.repeat(_numpy(batch.column("rep"))[i : i + 1024], BANDS)}
+
+    return C.arrow_map(reps.select("rep", "sig"), run, "key long, band int, rep long")
+
+
+def _sets(members: DataFrame, docs: DataFrame, k: int) -> DataFrame:
+    """id, items: the full shingle sets of the documents whose ids are in members (_id)."""
+    some = docs.join(members.select("_id").distinct(), docs["doc_id"] == F.col("_id"), "left_semi")
 
     def run(batch: pa.RecordBatch):
         for i, j, data, offs in C.pieces(batch.column(1)):
             yield {"id": batch.column(0).slice(i, j - i), "items": pa.array([s.tobytes() for s in shingle_sets(data, offs, k)], pa.binary())}
 
-    sets = C.arrow_map(some, run, "id long, items binary").dropDuplicates(["id"])
+    return C.arrow_map(some, run, "id long, items binary").dropDuplicates(["id"])
+
+
+def _linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    z = np.sort(np.concatenate([x, y]))
+    both = int((z[1:] == z[:-1]).sum())
+    return 100 * both >= percent * (len(z) - both)
+
+
+def verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """The pairs (a, b) whose full shingle sets satisfy 100 * intersection >= percent * union."""
+    sets = _sets(pairs.select(F.explode(F.array("a", "b")).alias("_id")), docs, k)
     both = pairs.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b")
 
     def test(batch: pa.RecordBatch):
-        ok = np.zeros(batch.num_rows, bool)
-        for i, (x, y) in enumerate(zip(batch.column("sa"), batch.column("sb"))):
-            x, y = np.frombuffer(x.as_buffer(), C.U64), np.frombuffer(y.as_buffer(), C.U64)
-            z = np.sort(np.concatenate([x, y]))
-            both = int((z[1:] == z[:-1]).sum())
-            ok[i] = 100 * both >= percent * (len(z) - both)
-        at = np.flatnonzero(ok)
-        yield {"a": batch.column("a").take(pa.array(at)), "b": batch.column("b").take(pa.array(at))}
+        at = pa.array([i for i, (x, y) in enumerate(zip(batch.column("sa"), batch.column("sb"))) if _linked(np.frombuffer(x.as_buffer(), C.U64), np.frombuffer(y.as_buffer(), C.U64), percent)], pa.int64())
+        yield {"a": batch.column("a").take(at), "b": batch.column("b").take(at)}
 
     return C.arrow_map(both.select("a", "b", "sa", "sb"), test, "a long, b long")
 
 
+def verified_blocks(tasks: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """The same for tasks (task, a, b: lists of pairs): each set comes once to a task, whatever its pairs."""
+    members = tasks.select("task", F.explode(F.array_distinct(F.concat("a", "b"))).alias("_id"))
+    sets = _sets(members, docs, k)
+    none = F.lit(None).cast("array<long>")
+    rows = members.join(sets, F.col("_id") == F.col("id")).select("task", "id", "items", none.alias("a"), none.alias("b"))
+    rows = rows.union(tasks.select("task", F.lit(None).cast("long"), F.lit(None).cast("binary"), "a", "b"))
+    rows = rows.repartition("task").sortWithinPartitions("task")
+
+    def test(batches):
+        for t in C.runs(batches, ["task"]):
+            at = C.group_bounds(t, ["task"])
+            ids, items = t["id"].to_pylist(), t["items"].combine_chunks()
+            pairs_a, pairs_b = t["a"].combine_chunks(), t["b"].combine_chunks()
+            out = []
+            for lo, hi in zip(at[:-1], at[1:]):
+                sets = {ids[i]: np.frombuffer(items[i].as_buffer(), C.U64) for i in range(lo, hi) if ids[i] is not None}
+                for i in range(lo, hi):
+                    if ids[i] is None:
+                        out += [(x, y) for x, y in zip(pairs_a[i].as_py(), pairs_b[i].as_py()) if _linked(sets[x], sets[y], percent)]
+            yield pa.RecordBatch.from_pydict({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
+
+    return rows.mapInArrow(test, "a long, b long")
+
+
 def _size_ok(x, y, percent: int):
     """A pair can only reach the threshold if the smaller set holds percent of the larger one."""
     return 100 * np.minimum(x, y) >= percent * np.maximum(x, y)
@@ -164,20 +206,22 @@ def _leaders(multi: DataFrame, reps: DataFrame, percent: int, least: np.ndarray)
 
     def run(batch: pa.RecordBatch):
         ok = _size_ok(_numpy(batch.column("na")), _numpy(batch.column("nb")), percent)
-        ok &= plausible(_bytes2d(batch.column("sa"), HASHES), _bytes2d(batch.column("sb"), HASHES), least)
+        ok &= plausible(_signatures(batch.column("sa")), _signatures(batch.column("sb")), least)
         at = pa.array(np.flatnonzero(ok))
         yield {"a": batch.column("leader").take(at), "b": batch.column("rep").take(at)}
 
     return C.arrow_map(both.select("leader", "rep", "na", "nb", "sa", "sb"), run, "a long, b long")
 
 
-def _across(multi: DataFrame, reps: DataFrame, comps: DataFrame, percent: int, least: np.ndarray) -> DataFrame:
-    """Plausible pairs between different components that share a bucket.
+def _across(multi: DataFrame, reps: DataFrame, comps: DataFrame, percent: int, least: np.ndarray, best: bool) -> DataFrame:
+    """Plausible pairs between different components that share a bucket, as lists a and b, one row a block and block.
+
+    With best, each row gives its best pair of a block only.
 
     In each unresolved bucket the component with most rows is the heavy one. Its rows are cut into blocks and
     meet the other rows' blocks; those also meet each other. Blocks have a bounded expected size.
     """
-    rows = multi.select("key", "rep").join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("comp"))
+    rows = multi.select("key", "band", "rep").join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("key", "band", "rep", F.coalesce("component", "rep").alias("comp"))
     sizes = rows.groupBy("key", "comp").agg(F.count("*").alias("c"))
     open_ = sizes.groupBy("key").agg(F.max(F.struct("c", "comp")).alias("heavy"), F.sum("c").alias("all"), F.count("*").alias("m")).where("m > 1")
     blocks = lambda c: F.ceil(c / F.lit(BLOCK)).cast("int")
@@ -188,18 +232,19 @@ def _across(multi: DataFrame, reps: DataFrame, comps: DataFrame, percent: int, l
     # A task is (i, j): light block i with light block j >= i, or with heavy block -1 - j.
     light = F.concat(F.transform(seq(F.col("nl")), lambda x: F.struct(F.least(F.col("own"), x).alias("i"), F.greatest(F.col("own"), x).alias("j"))), F.transform(seq(F.col("nh")), lambda x: F.struct(F.col("own").alias("i"), (-1 - x).alias("j"))))
     heavy = F.transform(seq(F.col("nl")), lambda x: F.struct(x.alias("i"), (-1 - F.col("own")).alias("j")))
-    r = r.join(reps.select("rep", "n", "sig"), "rep").select("key", "rep", "comp", "n", "sig", "own", "is_heavy", F.explode(F.when(F.col("is_heavy"), heavy).otherwise(light)).alias("t"))
-    r = r.select("key", F.col("t.i").alias("i"), F.col("t.j").alias("j"), "rep", "comp", "n", "sig", "own", "is_heavy").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    r = r.join(reps.select("rep", "n", "sig"), "rep").select("key", "band", "rep", "comp", "n", "sig", "own", "is_heavy", F.explode(F.when(F.col("is_heavy"), heavy).otherwise(light)).alias("t"))
+    r = r.select("key", F.col("t.i").alias("i"), F.col("t.j").alias("j"), "band", "rep", "comp", "n", "sig", "own", "is_heavy").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
     keys = ["key", "i", "j"]
 
     def run(batches):
         for t in C.runs(batches, keys):
             at = C.group_bounds(t, keys)
             rep, comp, n, i, j, own, heavy_row = (_numpy(t[c]) for c in ("rep", "comp", "n", "i", "j", "own", "is_heavy"))
-            sig = _bytes2d(t["sig"], HASHES)
+            sig, band = _signatures(t["sig"]), _numpy(t["band"])
             for a, b in zip(at[:-1], at[1:]):
                 g = np.arange(a, b)
                 left, right = g[(~heavy_row[g]) & (own[g] == i[a])], g[heavy_row[g]] if j[a] < 0 else g[(~heavy_row[g]) & (own[g] == j[a])]
+                found_a, found_b = [], []
                 for x in left:
                     y = right[(comp[right] != comp[x]) & _size_ok(n[right], n[x], percent)]
                     if i[a] == j[a]:
@@ -207,9 +252,18 @@ def _across(multi: DataFrame, reps: DataFrame, comps: DataFrame, percent: int, l
                     if len(y):
                         y = y[plausible(sig[y], np.broadcast_to(sig[x], (len(y), HASHES)), least)]
                     if len(y):
-                        yield pa.RecordBatch.from_pydict({"a": pa.array(np.minimum(rep[x], rep[y])), "b": pa.array(np.maximum(rep[x], rep[y]))})
+                        same = sig[y] == sig[x]
+                        if best:
+                            same = same.sum(1)
+                            y = y[[np.argmax(same)]] if 100 * same.max() >= (percent - 5) * HASHES else y[:0]
+                        else:
+                            y = y[same.reshape(len(y), BANDS, ROWS).all(2).argmax(1) == band[a]]
+                    found_a.append(np.full(len(y), rep[x]))
+                    found_b.append(rep[y])
+                if sum(map(len, found_a)):
+                    yield pa.RecordBatch.from_pydict({"a": pa.array([np.concatenate(found_a)]), "b": pa.array([np.concatenate(found_b)])})
 
-    return r.mapInArrow(run, "a long, b long").distinct()
+    return r.mapInArrow(run, "a array<long>, b array<long>")
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -226,17 +280,37 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     feat = C.written(features(at, k), spark)
     classes = feat.where("n > 0 and doc_id is not null").groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("rep"))
     classes = C.written(classes, spark)
-    reps = C.written(feat.join(classes.select(F.col("rep").alias("_r"), F.col("k1").alias("_k")), (F.col("doc_id") == F.col("_r")) & (F.col("k1") == F.col("_k"))).select(F.col("doc_id").alias("rep"), "n", "sig", "keys").dropDuplicates(["rep"]), spark)
-    bands = reps.select(F.explode("keys").alias("key"), "rep")
-    full = bands.groupBy("key").agg(F.min("rep").alias("leader"), F.count("*").alias("c")).where("c > 1").select("key", "leader")
-    multi = C.written(bands.join(full, "key"), spark)
+    reps = C.written(feat.join(classes.select(F.col("rep").alias("_r"), F.col("k1").alias("_k")), (F.col("doc_id") == F.col("_r")) & (F.col("k1") == F.col("_k"))).select(F.col("doc_id").alias("rep"), "n", "sig").dropDuplicates(["rep"]), spark)
+    buckets = bands(reps)
+    full = buckets.groupBy("key").agg(F.min("rep").alias("leader"), F.count("*").alias("c")).where("c > 1").select("key", "leader")
+    multi = C.written(buckets.join(full, "key"), spark)
+    # The texts that any later step may need: those of classes that share a bucket.
+    at = C.written(at.join(multi.select(F.col("rep").alias("_id")).distinct(), at["doc_id"] == F.col("_id"), "left_semi"), spark)
+    C.release(spark)
     links = C.written(verified(_leaders(multi, reps, percent, least), at, k, percent), spark)
     comps = C.components(links, spark)
-    more = C.written(verified(_across(multi, reps, comps, percent, least), at, k, percent), spark)
-    C.discard(multi)
-    if not more.isEmpty():
-        comps = C.components(links.union(more), spark)
-    C.discard(links, more)
+    C.release(spark)
+    rounds, best = 0, True
+    while True:
+        tasks = C.written(_across(multi, reps, comps, percent, least, best), spark)
+        C.release(spark)
+        if best:
+            pairs = tasks.select(F.explode(F.arrays_zip("a", "b")).alias("p")).select(F.least("p.a", "p.b").alias("a"), F.greatest("p.a", "p.b").alias("b")).distinct()
+            more = verified(pairs, at, k, percent)
+        else:
+            more = verified_blocks(tasks.select(F.monotonically_increasing_id().alias("task"), "a", "b"), at, k, percent)
+        more = C.written(more, spark)
+        C.discard(tasks)
+        C.release(spark)
+        found = not more.isEmpty()
+        if found:
+            links = links.union(more)
+            comps = C.components(links, spark)
+        if not best:
+            break
+        rounds += 1
+        best = found and rounds < BEST_ROUNDS
+    C.discard(multi, at)
     rep = feat.select("doc_id", "n", "k1", "k2").join(classes.select("k1", "k2", F.col("n").alias("_n"), "rep"), ["k1", "k2"], "left").where("_n is null or n = _n")
     out = rep.join(comps.withColumnRenamed("node", "rep"), "rep", "left")
     component = F.when(F.col("doc_id").isNull(), None).otherwise(F.coalesce("component", "rep", "doc_id"))
