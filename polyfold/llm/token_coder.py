@@ -85,13 +85,14 @@ class _Lanes:
     def predict(self, m: int):
         """Ends of the first two events' shares, and the third's size."""
         self.at = self.base[:, :m] + (self.past[:, :m] * 2654435761 >> 15 & (1 << O_BITS) - 1)
-        self.old = self.table[self.at]
+        self.old = self.table.take(self.at, mode="clip")
         self.q = self.old & 0xFFFF
         self.conf = self.old >> 16
         s = self.state[:, :m] + self.conf
         s[0] += self.conf[0]
         s[0] += self.q[0] == self.q[1]
-        self.s, e = s, self.events[s]
+        self.s, e = s, self.events.take(s, mode="clip")
+        self.counts = e
         e = (e[0] + e[1] + self.all[:m]).view(_U)
         a = e & _FIELD
         c = e >> _U(42)
@@ -105,9 +106,9 @@ class _Lanes:
     def learn(self, m: int, x: np.ndarray, hit: np.ndarray) -> None:
         """hit: whether the predictions held."""
         conf = self.conf + (hit << 2)
-        self.table[self.at] = np.where(conf > 1, self.old + _STEP[conf], x | 65536)
-        inc = _EVENT[hit[0] + (hit[1] << 1)]
-        self.events[self.s] += inc
+        self.table[self.at] = np.where(conf > 1, self.old + _STEP.take(conf, mode="clip"), x | 65536)
+        inc = _EVENT.take(hit[0] + 2 * hit[1], mode="clip")
+        self.events[self.s] = self.counts + inc
         self.all[:m] += inc
         self.past[0, :m] = self.past[1, :m] * 40503 + x
         self.past[1, :m] = x
@@ -135,8 +136,8 @@ def _encode(ids: np.ndarray, sizes: np.ndarray, order0: Order0) -> list[bytes]:
         hit = (s.q == x) & (s.conf > 0)
         hit2, hit1 = hit
         c >>= _U(TOTAL)
-        low[:m] += np.where(hit2, _U(0), np.where(hit1, a, b + starts[x] * c))
-        rng[:m] = np.where(hit2, a, np.where(hit1, b - a, shares[x] * c))
+        low[:m] += np.where(hit2, _U(0), np.where(hit1, a, b + starts.take(x, mode="clip") * c))
+        rng[:m] = np.where(hit2, a, np.where(hit1, b - a, shares.take(x, mode="clip") * c))
         at = np.flatnonzero(rng[:m] < _TOP)
         while len(at):
             l = low[at]  # noqa: E741
@@ -175,12 +176,12 @@ def _decode(words: list[np.ndarray], sizes: np.ndarray, order0: Order0) -> np.nd
         c >>= _U(TOTAL)
         g = gap[:m]
         first, third = g < a, g >= b
-        y = of[np.minimum((g - np.where(third, b, g)) // c, _U((1 << TOTAL) - 1)).astype(np.int64)]
+        y = of.take(((g - np.where(third, b, g)) // c).view(np.int64), mode="clip")
         x = np.where(first, s.q[0], np.where(third, y, s.q[1]))
-        start = np.where(first, _U(0), np.where(third, b + starts[x] * c, a))
+        start = np.where(first, _U(0), np.where(third, b + starts.take(x, mode="clip") * c, a))
         low[:m] += start
         gap[:m] -= start
-        rng[:m] = np.where(first, a, np.where(third, shares[x] * c, b - a))
+        rng[:m] = np.where(first, a, np.where(third, shares.take(x, mode="clip") * c, b - a))
         at = np.flatnonzero(rng[:m] < _TOP)
         while len(at):
             l = low[at]  # noqa: E741

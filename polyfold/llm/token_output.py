@@ -21,8 +21,8 @@ from polyfold.llm import token_coder as K
 
 #: Texts of about so many bytes make a segment.
 SEGMENT_BYTES = 20 << 20
-#: Distinct pieces that a worker remembers; beyond, it starts anew.
-CACHE_PIECES = 1_500_000
+#: Distinct pieces that a worker remembers, beyond which it starts anew; pieces learned before they are merged in.
+CACHE_PIECES, LATE_PIECES = 1_500_000, 150_000
 #: White space that \\s takes in Unicode but the kernels don't, as the lead bytes of its UTF-8.
 _OTHER = np.zeros(256, bool)
 _OTHER[[0x1C, 0x1D, 0x1E, 0x1F, 0xC2, 0xE1, 0xE2, 0xE3]] = True
@@ -36,30 +36,76 @@ def default_tokenizer() -> str:
 
 
 class PieceEncoder:
-    """Ids of whole texts by a byte-level BPE tokenizer, with remembered pieces."""
+    """Ids of whole texts, with remembered pieces for byte-level BPE tokenizers; others see every text whole."""
 
     def __init__(self, path: str) -> None:
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.library = Tokenizer.from_file(path)
         self.special = [t.content.encode() for t in self.library.get_added_tokens_decoder().values()]
+        split = self.library.pre_tokenizer
+        self.by_pieces = self.library.normalizer is None and isinstance(split, pre_tokenizers.ByteLevel) and not split.add_prefix_space
+        line = self.library.encode("\n", add_special_tokens=False).ids
+        self.line = line[0] if len(line) == 1 else None
         self.forget()
 
     def forget(self) -> None:
-        self.keys = np.zeros(0, C.U64)
-        self.first = np.zeros(0, np.int64)
-        self.count = np.zeros(0, np.int64)
+        # Sorted keys with the place and number of their ids: the bulk, and what was learned lately.
+        self.bulk = self.late = self._none = (np.zeros(0, C.U64), np.zeros(0, np.int64), np.zeros(0, np.int64))
         self.ids = np.zeros(0, np.uint16)
 
-    def _learn(self, keys: np.ndarray, texts: list[str]) -> None:
+    def _find(self, u: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """first and count of the keys u, and which of them are unknown."""
+        first, count, new = np.zeros(len(u), np.int64), np.zeros(len(u), np.int64), np.ones(len(u), bool)
+        for keys, starts, counts in (self.bulk, self.late):
+            if len(keys):
+                at = np.minimum(np.searchsorted(keys, u), len(keys) - 1)
+                hit = keys[at] == u
+                first[hit], count[hit], new[hit] = starts[at[hit]], counts[at[hit]], False
+        return first, count, new
+
+    def _each(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of texts one after another, and how many each has."""
         got = [e.ids for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
         count = np.array([len(x) for x in got], np.int64)
-        first = len(self.ids) + np.cumsum(count) - count
-        self.ids = np.concatenate([self.ids, np.fromiter((i for x in got for i in x), np.uint16, int(count.sum()))])
-        keys, first, count = np.concatenate([self.keys, keys]), np.concatenate([self.first, first]), np.concatenate([self.count, count])
-        order = np.argsort(keys)
-        self.keys, self.first, self.count = keys[order], first[order], count[order]
+        return np.fromiter((i for x in got for i in x), np.uint16, int(count.sum())), count
+
+    def _lines(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The same for pieces without line breaks, many in one call: breaks between them are pieces of their own."""
+        if self.line is None:
+            return self._each(texts)
+        ids, counts = [], []
+        for i in range(0, len(texts), 4096):
+            some = texts[i : i + 4096]
+            got = np.array(self.library.encode_batch_fast(["\n".join(some) + "\n"], add_special_tokens=False)[0].ids, np.uint16)
+            at = np.flatnonzero(got == self.line)
+            if len(at) != len(some):  # a piece ends in white space of another kind, which joins the break
+                got, count = self._each(some)
+            else:
+                count = np.diff(at, prepend=-1) - 1
+                got = got[got != self.line]
+            ids.append(got)
+            counts.append(count)
+        return np.concatenate([*ids, np.zeros(0, np.uint16)]), np.concatenate([*counts, np.zeros(0, np.int64)])
+
+    def _learn(self, keys: np.ndarray, texts: list[str]) -> None:
+        """keys: sorted, and none of them known."""
+        plain = np.array(["\n" not in t and not t.isspace() for t in texts])
+        count = np.zeros(len(texts), np.int64)
+        first = np.zeros(len(texts), np.int64)
+        at = len(self.ids)
+        parts = [self.ids]
+        for rows, how in ((np.flatnonzero(plain), self._lines), (np.flatnonzero(~plain), self._each)):
+            ids, n = how([texts[i] for i in rows])
+            count[rows], first[rows] = n, at + np.cumsum(n) - n
+            at += len(ids)
+            parts.append(ids)
+        self.ids = np.concatenate(parts)
+        merge = lambda old, new: tuple(np.insert(x, at, y) for at in [np.searchsorted(old[0], new[0])] for x, y in zip(old, new))
+        self.late = merge(self.late, (keys, first, count))
+        if len(self.late[0]) > LATE_PIECES:
+            self.bulk, self.late = merge(self.bulk, self.late), self._none
 
     def _odd(self, data: np.ndarray, offs: np.ndarray) -> np.ndarray:
         """Documents that the library must see whole."""
@@ -77,6 +123,10 @@ class PieceEncoder:
 
     def encode(self, data: np.ndarray, offs: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the documents one after another, each closed by end, and how many ids each has."""
+        if not self.by_pieces:
+            raw = data.tobytes()
+            ids, sizes = self._each([raw[a:b].decode("utf-8", "replace") for a, b in zip(offs[:-1].tolist(), offs[1:].tolist())])
+            return np.insert(ids, np.cumsum(sizes), np.uint16(end)), sizes + 1
         n_docs = len(offs) - 1
         sep = C.IS_SEP[data]
         # Pieces begin at documents, at words (with one space before them), and at the last separator before a word
@@ -95,19 +145,16 @@ class PieceEncoder:
         begin = np.flatnonzero(begin[: len(data)])
         stop = np.append(begin[1:], len(data))
         keys = C.span_hash(C.prefix(data), begin, stop)
-        if len(self.keys) > CACHE_PIECES:
+        if len(self.bulk[0]) > CACHE_PIECES:
             self.forget()
         u, where, inverse = np.unique(keys, return_index=True, return_inverse=True)
-        at = np.searchsorted(self.keys, u)
-        new = np.ones(len(u), bool)
-        inside = at < len(self.keys)
-        new[inside] = self.keys[at[inside]] != u[inside]
+        first, count, new = self._find(u)
         if new.any():
             raw = data.tobytes()
             w = where[new]
             self._learn(u[new], [raw[a:b].decode("utf-8", "replace") for a, b in zip(begin[w].tolist(), stop[w].tolist())])
-            at = np.searchsorted(self.keys, u)
-        first, count = self.first[at][inverse], self.count[at][inverse]
+            first, count, _ = self._find(u)
+        first, count = first[inverse], count[inverse]
         # Room for the end ids: a piece of one id after each document's last piece.
         piece_of = np.searchsorted(begin, offs)
         total = np.concatenate([[0], np.cumsum(count)])
