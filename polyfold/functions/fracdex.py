@@ -13,6 +13,8 @@ def key_between(a: str | None, b: str | None) -> str:
     low, out, i = a or "", "", 0
     bounded = b is not None
     while True:
+        if bounded and i >= len(b):  # only keys of foreign make, ending in the lowest digit, leave no room
+            raise ValueError(f"no key between {a!r} and {b!r}")
         x = DIGITS.index(low[i]) if i < len(low) else 0
         y = (DIGITS.index(b[i]) if i < len(b) else 0) if bounded else len(DIGITS)
         if y - x > 1:

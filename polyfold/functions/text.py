@@ -81,7 +81,7 @@ def porter(word: str) -> str:
     """The Porter stem of a folded word; short words and words with other characters than a-z are left alone."""
     if len(word) < 3 or not word.isascii() or not word.isalpha():
         return word
-    if word.endswith("sses") or word.endswith("ies"):
+    if word.endswith("sses") or (word.endswith("ies") and len(word) > 3):
         word = word[:-2]
     elif word.endswith("s") and not word.endswith("ss"):
         word = word[:-1]
