@@ -72,7 +72,8 @@ def document_stats(data: np.ndarray, offs: np.ndarray) -> dict[str, np.ndarray]:
         b = b - ((b > a) & (data[b - 1] == 10))
         key = C.mix(C.span_hash(s, a, b) ^ (d.astype(C.U64) * C.U64(0x9E3779B97F4A7C15)))
         order = np.argsort(key, kind="stable")
-        again = np.concatenate([[False], key[order][1:] == key[order][:-1]])
+        again = np.zeros(len(order), bool)
+        again[1:] = key[order][1:] == key[order][:-1]
         dup = np.bincount(d[order[again]], minlength=n).astype(float)
     w, chars = np.maximum(n_words, 1), np.maximum(points - sep, 1)
     features = np.stack([np.log1p(n_words), np.log1p((points - sep) / w), sym / chars, upper / np.maximum(letters, 1), bang / w, bar / w, repeated / w, dup / np.maximum(lines, 1), digit / chars, high / chars, np.log1p(n_words / np.maximum(lines, 1)), stop / w, echoes / w], 1)
