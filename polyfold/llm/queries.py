@@ -80,5 +80,45 @@ SELECT doc_id, size, source_size, target, CAST(size * (floor(rate) + CASE WHEN u
 """
 
 
+_REL, _HREF = r"""rel\s*=\s*["']?canonical\b""", r"""href\s*=\s*["']?([^"'\s>]+)"""
+_EQUIV, _CONTENT = r"""http-equiv\s*=\s*["']?refresh\b""", r"""content\s*=\s*["'][^"']*?url\s*=\s*([^"'\s>]+)"""
+
+
+def _found(tag: str, a: str, b: str) -> str:
+    """SQL for the link in a tag that has both attributes, in either order."""
+    one, two = (f"regexp_extract(coalesce(html, ''), '{x}', 1)" for x in (rf"(?is)<{tag}\b[^>]*\b{a}[^>]*\b{b}".replace("'", "''"), rf"(?is)<{tag}\b[^>]*\b{b}[^>]*\b{a}".replace("'", "''")))
+    return f"CASE WHEN {one} <> '' THEN {one} ELSE {two} END"
+
+
+_AZ = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+_RULES = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in url_filter.RULES)
+
+
+def _host_path(url: str) -> str:
+    return rf"translate(regexp_extract(coalesce({url}, ''), '(?s)^.*?://([^/?#]*)', 1), {_AZ}) AS host, regexp_extract(coalesce({url}, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path"
+
+
+def _key(url: str) -> str:
+    u = f"regexp_replace({url}, '#.*$', '')"
+    head = f"regexp_extract({u}, '(?s)^.*?://[^/?]*')"
+    return f"translate({head}, {_AZ}) || substr({u}, length({head}) + 1)"
+
+
+OP7_SQL = rf"""
+WITH RECURSIVE rules(h, p, v) AS (VALUES {_RULES}),
+p AS (SELECT row_number() OVER () AS n, page_id, url, {_host_path("url")}, CASE WHEN instr(url, '://') > 0 THEN {_key("url")} END AS node FROM pages),
+own AS (SELECT n, arg_max(h || p, length(h || p)) AS rule, arg_max(v, length(h || p)) AS v FROM (SELECT p.n, r.* FROM p, rules r WHERE (p.host = r.h OR ends_with(p.host, '.' || r.h)) AND starts_with(p.path, r.p)) GROUP BY n),
+t AS (SELECT url, regexp_extract(url, '^([^:/?#]+)://', 1) AS scheme, {_host_path("url")}, replace(unnest([{_found("link", _REL, _HREF)}, {_found("meta", _EQUIV, _CONTENT)}]), '&amp;', '&') AS t FROM pages WHERE instr(url, '://') > 0),
+e AS (SELECT url AS src, CASE WHEN starts_with(t, '//') THEN scheme || ':' || t WHEN starts_with(t, '/') THEN scheme || '://' || host || t ELSE t END AS dst FROM t),
+ends AS (SELECT src AS url FROM e WHERE instr(dst, '://') > 0 UNION SELECT dst FROM e WHERE instr(dst, '://') > 0),
+links AS (SELECT {_key("src")} AS a, {_key("dst")} AS b FROM e WHERE instr(dst, '://') > 0),
+both_ways AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
+reach AS (SELECT a, a AS b FROM both_ways UNION SELECT r.a, x.b FROM reach r JOIN both_ways x ON x.a = r.b),
+heard AS (SELECT node, arg_max(v, length(h || p)) AS v FROM (SELECT x.node, x.url, r.* FROM (SELECT url, {_key("url")} AS node, {_host_path("url")} FROM ends) x, rules r WHERE (x.host = r.h OR ends_with(x.host, '.' || r.h)) AND starts_with(x.path, r.p)) GROUP BY node, url),
+said AS (SELECT reach.a AS node, min(heard.v) AS v FROM reach JOIN heard ON heard.node = reach.b GROUP BY reach.a)
+SELECT p.page_id, p.host, p.path, own.rule, coalesce(own.v, said.v, 'allow') AS verdict FROM p LEFT JOIN own USING (n) LEFT JOIN said ON said.node = p.node
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op8_mixing": OP8_SQL}
+    return {"op7_url_filter": OP7_SQL, "op8_mixing": OP8_SQL}

@@ -1,4 +1,4 @@
-"""Adaptive context-mixing range coder for token ids below 2**16, many blocks side by side.
+"""Adaptive context-mixing range coder for token ids below 65535, many blocks side by side.
 
 Each id is coded by one of three events: the id predicted by the last two ids, the id predicted by the last
 one, or neither. The events' frequencies are a mix: the counts kept for the state of the order-2 prediction, of
@@ -25,6 +25,8 @@ HEAD, BLOCK_HEAD = struct.Struct("<4sIII"), struct.Struct("<III")
 #: Ids of a block; blocks that advance together, whose tables then stay within some MB.
 BLOCK, LANES = 2048, 4096
 O_BITS, TOTAL = 10, 16
+#: Ids are below this.
+NO_ID = 65535
 _U = np.uint64
 _WORD, _TOP, _MASK = _U(40), _U(1 << 40), _U((1 << 56) - 1)
 _FIELD = _U((1 << 21) - 1)
@@ -64,14 +66,14 @@ class _Lanes:
     """Model and coder state of n blocks.
 
     Order 2 is row 0 and order 1 row 1 of all two-row arrays. An entry of a prediction table is the id that followed
-    last plus its confidence (0 to 3) in the bits above. The three events' counts are 21-bit fields of one
+    last plus its confidence (0 to 3) in the bits above; an empty one has an id that is none. The three events' counts are 21-bit fields of one
     integer, so that one addition mixes them.
     """
 
     def __init__(self, n: int) -> None:
         self.row = np.arange(n, dtype=np.int64)
         self.base = np.stack([self.row << O_BITS, (self.row + n) << O_BITS])
-        self.table = np.zeros(2 * n << O_BITS, np.int32)
+        self.table = np.full(2 * n << O_BITS, NO_ID, np.int32)
         self.past = np.zeros((2, n), np.int64)  # the last two ids as one number, and the last one
         # Counts of the events by state; predictions of higher confidence start higher.
         e2 = [[1, 8, 32]] * 2 + [[8, 4, 16], [16, 1, 8], [32, 4, 8], [48, 1, 4], [64, 2, 4], [64, 1, 2]]
@@ -105,9 +107,10 @@ class _Lanes:
 
     def learn(self, m: int, x: np.ndarray, hit: np.ndarray) -> None:
         """hit: whether the predictions held."""
-        conf = self.conf + (hit << 2)
-        self.table[self.at] = np.where(conf > 1, self.old + _STEP.take(conf, mode="clip"), x | 65536)
-        inc = _EVENT.take(hit[0] + 2 * hit[1], mode="clip")
+        h = hit.view(np.int8)
+        conf = self.conf + (h << 2)
+        self.table[self.at] = np.where(conf > 1, self.old + _STEP.take(conf, mode="clip"), x.astype(np.int32) | 65536)
+        inc = _EVENT.take(h[0] + 2 * h[1], mode="clip")
         self.events[self.s] = self.counts + inc
         self.all[:m] += inc
         self.past[0, :m] = self.past[1, :m] * 40503 + x
@@ -133,7 +136,7 @@ def _encode(ids: np.ndarray, sizes: np.ndarray, order0: Order0) -> list[bytes]:
         m = int(active[t])
         a, b, c = s.predict(m)
         x = ids[t, :m]
-        hit = (s.q == x) & (s.conf > 0)
+        hit = s.q == x.astype(np.int32)
         hit2, hit1 = hit
         c >>= _U(TOTAL)
         low[:m] += np.where(hit2, _U(0), np.where(hit1, a, b + starts.take(x, mode="clip") * c))
@@ -186,7 +189,7 @@ def _decode(words: list[np.ndarray], sizes: np.ndarray, order0: Order0) -> np.nd
         while len(at):
             l = low[at]  # noqa: E741
             r = _narrow(l, rng[at]) << _U(16)
-            w = flat[pos[at]]
+            w = flat.take(pos[at], mode="clip")  # a damaged stream ends in a wrong checksum
             gap[at] = (gap[at] << _U(16)) | (held[at] << _U(8)) | (w >> _U(8))
             held[at] = w & _U(255)
             pos[at] += 1
@@ -194,7 +197,7 @@ def _decode(words: list[np.ndarray], sizes: np.ndarray, order0: Order0) -> np.nd
             rng[at] = r
             at = at[r < _TOP]
         out[t, :m] = x
-        s.learn(m, x, (s.q == x) & (s.conf > 0))
+        s.learn(m, x, s.q == x.astype(np.int32))
     return out
 
 
@@ -204,6 +207,8 @@ def crc(ids: np.ndarray) -> int:
 
 def encode_segment(ids: np.ndarray) -> bytes:
     """All ids (in order) as one segment; no ids give a head only."""
+    if len(ids) and int(ids.max()) >= NO_ID:
+        raise ValueError(f"ids must be below {NO_ID}")
     blocks = [ids[i : i + BLOCK] for i in range(0, len(ids), BLOCK)]
     order0 = Order0.fit(ids)
     coded: list[bytes] = []

@@ -22,7 +22,7 @@ from polyfold.llm import token_coder as K
 #: Texts of about so many bytes make a segment.
 SEGMENT_BYTES = 20 << 20
 #: Distinct pieces that a worker remembers, beyond which it starts anew; pieces learned before they are merged in.
-CACHE_PIECES, LATE_PIECES = 1_500_000, 150_000
+CACHE_PIECES, LATE_PIECES = 2_500_000, 150_000
 #: White space that \\s takes in Unicode but the kernels don't, as the lead bytes of its UTF-8.
 _OTHER = np.zeros(256, bool)
 _OTHER[[0x1C, 0x1D, 0x1E, 0x1F, 0xC2, 0xE1, 0xE2, 0xE3]] = True
