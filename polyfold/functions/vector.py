@@ -89,3 +89,8 @@ def bucket_of(query: Sequence[float], planes: np.ndarray) -> int:
 def probes(b: int, bits: int) -> list[int]:
     """The bucket itself and those one bit away."""
     return [b, *(b ^ (1 << i) for i in range(bits))]
+
+
+def near_bucket(c: Column, b: int, bits: int, radius: int = 1) -> Column:
+    """Whether a bucket is at most radius bits from b; for a radius of 1 as a list, which prunes partitions and files."""
+    return c.isin(probes(b, bits)) if radius == 1 else F.bit_count(c.bitwiseXOR(F.lit(b))) <= radius

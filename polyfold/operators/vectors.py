@@ -55,11 +55,12 @@ def near(
     metric: str | Callable = "cosine",
     method: str = "exact",
     planes: np.ndarray | None = None,
+    radius: int = 1,
 ) -> DataFrame:
     """The k rows nearest to query with their score, nearest first; ties go by item_id.
 
-    exact scores every row and keeps k a task. lsh scores rows in the query's bucket and those one bit off, and
-    all rows if those hold none. auto takes lsh from AUTO_ROWS rows on.
+    exact scores every row and keeps k a task. lsh scores rows in buckets at most radius bits
+    from the query's, and all rows if those hold none; a radius of 1 suits clustered data, spread-out data needs more. auto takes lsh from AUTO_ROWS rows on.
     """
     if method not in ("exact", "lsh", "auto"):
         raise ValueError(f"unknown method {method!r}")
@@ -69,7 +70,7 @@ def near(
     if method == "lsh":
         if planes is None:
             raise ValueError("lsh needs the index's planes")
-        some = rows.where(F.col("bucket").isin(V.probes(V.bucket_of(query, planes), len(planes))))
+        some = rows.where(V.near_bucket(F.col("bucket"), V.bucket_of(query, planes), len(planes), radius))
         if not some.isEmpty():
             rows = some
     return _ranked(rows, query, k, metric)

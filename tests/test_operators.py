@@ -166,3 +166,15 @@ def test_graph(spark):
     assert graph.unlink(g, g.where("label = 'p'")).count() == 2
     walk = {(r["node"], r["depth"]) for r in graph.walk(g, spark.createDataFrame([("r",)], "node string"), 5).collect()}
     assert walk == {("r", 0), ("a", 1), ("b", 1)}
+
+
+def test_lsh_recall_without_clusters(spark):
+    planes = V.hyperplanes(64)
+    e = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
+    d = vectors.with_bucket(e.selectExpr("vec_id as item_id", "embedding as vector", "cast(null as string) as metadata"), planes).cache()
+    probes = [list(r["vector"]) for r in d.where("item_id % 50 = 0").collect()]
+    found = 0
+    for p in probes:
+        exact = {r["item_id"] for r in vectors.near(d, p, 10).collect()}
+        found += len(exact & {r["item_id"] for r in vectors.near(d, p, 10, method="lsh", planes=planes, radius=9).collect()})
+    assert found >= 0.9 * 10 * len(probes)
