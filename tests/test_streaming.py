@@ -10,9 +10,9 @@ def test_log_tail_and_channel(spark, tmp_path):
     store = Store(spark, str(tmp_path / "s"))
     x, seen = store.log("l"), []
     x.log("one", 1.0), store.log("other").log("no", 1.0)
-    x.live(lambda t, d: seen.append((t, d)), checkpoint=str(tmp_path / "c"), once=True).awaitTermination()
+    x.live(lambda t, d: seen.append((t, d)), since=0.0, checkpoint=str(tmp_path / "c"), once=True).awaitTermination()
     x.log("two", 2.0)
-    x.live(lambda t, d: seen.append((t, d)), checkpoint=str(tmp_path / "c"), once=True).awaitTermination()
+    x.live(lambda t, d: seen.append((t, d)), since=0.0, checkpoint=str(tmp_path / "c"), once=True).awaitTermination()
     assert seen == [(1.0, "one"), (2.0, "two")]
     c, a, b = store.channel("c"), [], []
     c.publish("before")
