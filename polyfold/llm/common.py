@@ -7,7 +7,6 @@ documents at a time, without building Python strings. Nulls count as empty texts
 from __future__ import annotations
 
 import gc
-import os
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -140,7 +139,6 @@ def scratch_dir(spark: SparkSession) -> str:
     if not at:
         at = "file://" + tempfile.mkdtemp(prefix="polyfold-")
         spark.sparkContext.setCheckpointDir(at)
-        os.environ.setdefault("POLYFOLD_SCRATCH", at)
     return at.rstrip("/")
 
 

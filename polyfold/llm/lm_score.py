@@ -201,7 +201,7 @@ def score_documents(docs: DataFrame, fold: int = 5, held: int = 1, id_col: str =
         if not left.num_rows:
             return want_base.empty_table()
         x = {c: left[c][0] for c in left.column_names}
-        counts = np.zeros(len(x["vocab_n"].as_py() and x["counts"].as_buffer()) // 8 if x["vocab_n"].as_py() else 0, np.int64)
+        counts = np.zeros(x["vocab_n"].as_py() // 8, np.int64)
         if right.num_rows:
             counts[right["i"].to_numpy()] = right["total"].to_numpy()
         idx = np.frombuffer(x["words"].as_buffer(), np.uint32)
@@ -217,7 +217,7 @@ def score_documents(docs: DataFrame, fold: int = 5, held: int = 1, id_col: str =
 
     schema = "doc_id long, h long, n_tokens long, n_known long, base_score double"
     want_base = to_arrow_schema(_parse_datatype_string(schema))
-    left = chunks.select("chunk", F.octet_length("vocab").alias("vocab_n"), "counts", "words", "doc_ids", "hashes", "n")
+    left = chunks.select("chunk", F.octet_length("vocab").alias("vocab_n"), "words", "doc_ids", "hashes", "n")
     bases = left.groupBy("chunk").cogroup(back.groupBy("chunk")).applyInArrow(base, schema).dropDuplicates(["doc_id", "h"])
     # Bytes: at most 2**24 triples.
     tri = _unpack("tri", "tri_n", np.int32, "chunk long, k int, i int, c long")(chunks).groupBy("k").agg(F.sum("c").alias("c")).toArrow()

@@ -271,7 +271,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
 
     Links hold for 100 * intersection >= percent * union of shingle sets. Texts without words (null, empty,
     only separators) have empty sets and link with nothing. A null id has a null component and is kept.
-    Rows that repeat an id share its component; all of them are kept or none. Ties go to the smallest id. Sets
+    Rows that repeat an id share its component, all of them kept or none; if their texts differ, the id is linked by
+    one of them. Ties go to the smallest id. Sets
     are compared by 64-bit hashes of their shingles. An empty table gives an empty table.
     """
     spark: SparkSession = docs.sparkSession
