@@ -21,8 +21,8 @@ from polyfold.llm import token_coder as K
 
 #: Texts of about so many bytes make a segment.
 SEGMENT_BYTES = 20 << 20
-#: Distinct pieces that a worker remembers, beyond which it starts anew; pieces learned before they are merged in.
-CACHE_PIECES, LATE_PIECES = 2_500_000, 150_000
+#: Distinct pieces that a worker remembers, beyond which it starts anew; slots to find them by.
+CACHE_PIECES, SLOT_BITS = 2_500_000, 22
 #: White space that \\s takes in Unicode but the kernels don't, as the lead bytes of its UTF-8.
 _OTHER = np.zeros(256, bool)
 _OTHER[[0x1C, 0x1D, 0x1E, 0x1F, 0xC2, 0xE1, 0xE2, 0xE3]] = True
@@ -51,19 +51,25 @@ class PieceEncoder:
         self.forget()
 
     def forget(self) -> None:
-        # Sorted keys with the place and number of their ids: the bulk, and what was learned lately.
-        self.bulk = self.late = self._none = (np.zeros(0, C.U64), np.zeros(0, np.int64), np.zeros(0, np.int64))
+        # What was learned, in order of learning; and for two parts of a key the piece that last had it.
+        self.keys, self.first, self.count = (np.zeros(1 << 16, t) for t in (C.U64, np.int64, np.int64))
+        self.n = 1  # piece 0 is none
+        self.slots = [np.zeros(1 << SLOT_BITS, np.int32) for _ in range(2)]
         self.ids = np.zeros(0, np.uint16)
 
-    def _find(self, u: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """first and count of the keys u, and which of them are unknown."""
-        first, count, new = np.zeros(len(u), np.int64), np.zeros(len(u), np.int64), np.ones(len(u), bool)
-        for keys, starts, counts in (self.bulk, self.late):
-            if len(keys):
-                at = np.minimum(np.searchsorted(keys, u), len(keys) - 1)
-                hit = keys[at] == u
-                first[hit], count[hit], new[hit] = starts[at[hit]], counts[at[hit]], False
-        return first, count, new
+    def _places(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The slots of keys: their upper bits, and others."""
+        return (keys >> C.U64(64 - SLOT_BITS)).view(np.int64), (keys & C.U64((1 << SLOT_BITS) - 1)).view(np.int64)
+
+    def _find(self, keys: np.ndarray) -> np.ndarray:
+        """The piece of each key, 0 where it is not known or has lost both slots to others (it is then learned again)."""
+        one, two = self._places(keys)
+        piece = self.slots[0].take(one)
+        miss = np.flatnonzero(self.keys.take(piece) != keys)
+        other = self.slots[1].take(two[miss])
+        ok = self.keys.take(other) == keys[miss]
+        piece[miss] = np.where(ok, other, 0)
+        return piece
 
     def _each(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of texts one after another, and how many each has."""
@@ -102,10 +108,14 @@ class PieceEncoder:
             at += len(ids)
             parts.append(ids)
         self.ids = np.concatenate(parts)
-        merge = lambda old, new: tuple(np.insert(x, at, y) for at in [np.searchsorted(old[0], new[0])] for x, y in zip(old, new))
-        self.late = merge(self.late, (keys, first, count))
-        if len(self.late[0]) > LATE_PIECES:
-            self.bulk, self.late = merge(self.bulk, self.late), self._none
+        room = self.n + len(keys)
+        if room > len(self.keys):
+            self.keys, self.first, self.count = (np.concatenate([x, np.zeros(max(len(x), room), x.dtype)]) for x in (self.keys, self.first, self.count))
+        new = np.arange(self.n, room)
+        self.keys[new], self.first[new], self.count[new] = keys, first, count
+        self.n = room
+        for slot, place in zip(self.slots, self._places(keys)):
+            slot[place] = new
 
     def _odd(self, data: np.ndarray, offs: np.ndarray) -> np.ndarray:
         """Documents that the library must see whole."""
@@ -145,16 +155,16 @@ class PieceEncoder:
         begin = np.flatnonzero(begin[: len(data)])
         stop = np.append(begin[1:], len(data))
         keys = C.span_hash(C.prefix(data), begin, stop)
-        if len(self.bulk[0]) > CACHE_PIECES:
+        if self.n > CACHE_PIECES:
             self.forget()
-        u, where, inverse = np.unique(keys, return_index=True, return_inverse=True)
-        first, count, new = self._find(u)
-        if new.any():
-            raw = data.tobytes()
-            w = where[new]
-            self._learn(u[new], [raw[a:b].decode("utf-8", "replace") for a, b in zip(begin[w].tolist(), stop[w].tolist())])
-            first, count, _ = self._find(u)
-        first, count = first[inverse], count[inverse]
+        piece = self._find(keys)
+        new = np.flatnonzero(piece == 0)
+        if len(new):
+            u, where = np.unique(keys[new], return_index=True)
+            raw, w = data.tobytes(), new[where]
+            self._learn(u, [raw[a:b].decode("utf-8", "replace") for a, b in zip(begin[w].tolist(), stop[w].tolist())])
+            piece[new] = self.n - len(u) + np.searchsorted(u, keys[new])
+        first, count = self.first.take(piece), self.count.take(piece)
         # Room for the end ids: a piece of one id after each document's last piece.
         piece_of = np.searchsorted(begin, offs)
         total = np.concatenate([[0], np.cumsum(count)])
