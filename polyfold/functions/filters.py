@@ -81,11 +81,11 @@ def checked_filters(filters: tuple) -> list[Filter]:
     return list(filters)
 
 
-def scan_condition(filters: list[Filter], body: Column) -> Column:
-    """All filters on a JSON text column. Nothing is pushed into the scan: see fieldindex for typed columns."""
+def scan_condition(filters: list[Filter], json: Column) -> Column:
+    """All filters on a VARIANT. Nothing is pushed into the scan: see fieldindex for typed columns."""
     out = F.lit(True)
     for f in filters:
-        out = out & jsonval.compare(body, f.path, f.op, f.value)
+        out = out & jsonval.compare(json, f.path, f.op, f.value)
     return out
 
 

@@ -8,13 +8,21 @@ from __future__ import annotations
 
 from typing import Any
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def value_at(body: Column, path: str) -> Column:
-    """The VARIANT at a dotted path; NULL if it is absent or the text is no JSON."""
-    return F.try_variant_get(F.try_parse_json(body), "$" + "".join("." + p for p in path.split(".") if p), "variant")
+def parsed(d: DataFrame, body: str = "body", name: str = "_json") -> DataFrame:
+    """d with the VARIANT of a JSON text column.
+
+    The one-element array keeps the optimizer from moving the parsing into every use: texts are parsed once.
+    """
+    return d.select("*", F.inline(F.array(F.struct(F.try_parse_json(F.col(body)).alias(name)))))
+
+
+def value_at(json: Column, path: str) -> Column:
+    """The VARIANT at a dotted path of a VARIANT; NULL if it is absent. Use parsed() to get one from text."""
+    return F.try_variant_get(json, "$" + "".join("." + p for p in path.split(".") if p), "variant")
 
 
 def kind_of(v: Column) -> Column:
@@ -26,19 +34,19 @@ def kind_of(v: Column) -> Column:
     )
 
 
-def found(body: Column, path: str) -> Column:
+def found(json: Column, path: str) -> Column:
     """Whether the path exists, JSON null included."""
-    return F.schema_of_variant(value_at(body, path)).isNotNull()
+    return F.schema_of_variant(value_at(json, path)).isNotNull()
 
 
-def number_at(body: Column, path: str) -> Column:
-    v = value_at(body, path)
+def number_at(json: Column, path: str) -> Column:
+    v = value_at(json, path)
     k = kind_of(v)
     return F.when(k == "bool", F.try_variant_get(v, "$", "boolean").cast("double")).when(k == "number", F.try_variant_get(v, "$", "double"))
 
 
-def text_at(body: Column, path: str) -> Column:
-    v = value_at(body, path)
+def text_at(json: Column, path: str) -> Column:
+    v = value_at(json, path)
     k = kind_of(v)
     return F.when(k == "text", F.try_variant_get(v, "$", "string")).when(k.isin("array", "object"), F.to_json(v))
 
@@ -47,9 +55,9 @@ def _apply(op: str, a: Column, b: Column) -> Column:
     return {"==": a == b, "!=": a != b, ">": a > b, ">=": a >= b, "<": a < b, "<=": a <= b}[op]
 
 
-def compare(body: Column, path: str, op: str, value: Any) -> Column:
-    """body's value at path against a literal; NULL (not true) for absent, JSON null and a None literal."""
-    num, text = number_at(body, path), text_at(body, path)
+def compare(json: Column, path: str, op: str, value: Any) -> Column:
+    """The value at path against a literal; NULL (not true) for absent, JSON null and a None literal."""
+    num, text = number_at(json, path), text_at(json, path)
     if op == "is_null":
         return num.isNull() & text.isNull()
     if value is None:
@@ -59,18 +67,18 @@ def compare(body: Column, path: str, op: str, value: Any) -> Column:
     return F.when(num.isNotNull(), _apply(op, num, F.lit(float(value)))).when(text.isNotNull(), F.lit(op in (">", ">=", "!=")))
 
 
-def sort_keys(body: Column, path: str, descending: bool = False) -> list[Column]:
+def sort_keys(json: Column, path: str, descending: bool = False) -> list[Column]:
     """Columns to order by: null, then numbers, then texts; reversed as a whole when descending."""
-    num, text = number_at(body, path), text_at(body, path)
+    num, text = number_at(json, path), text_at(json, path)
     rank = F.when(num.isNotNull(), 1).when(text.isNotNull(), 2).otherwise(0)
     return [c.desc() if descending else c.asc() for c in (rank, num, text)]
 
 
-def normalized(body: Column, path: str) -> tuple[Column, Column]:
+def normalized(json: Column, path: str) -> tuple[Column, Column]:
     """Text and number form of a scalar, as a field index holds them; arrays and objects have neither."""
-    v = value_at(body, path)
+    v = value_at(json, path)
     k = kind_of(v)
-    num = number_at(body, path)
+    num = number_at(json, path)
     text = F.when(k == "bool", F.when(num == 1, "true").otherwise("false")).when(k.isin("number", "text"), F.try_variant_get(v, "$", "string"))
     return text, num
 

@@ -31,18 +31,24 @@ def item_text(item: Column, dtype: str = "string") -> Column:
     return item.cast("string")
 
 
-def hll_register(text: Column, p: int) -> tuple[Column, Column]:
-    """Register index and rank of an item: SHA-1's first eight bytes, low p bits and trailing zeros of the rest."""
-    h = F.conv(_little_endian(F.sha1(text), 1), 16, -10).cast("bigint")
-    w = F.shiftrightunsigned(h, p)
-    zeros = F.when(w == 0, 64).otherwise(F.bit_count(w.bitwiseAND(-w) - 1))
-    return h.bitwiseAND(F.lit((1 << p) - 1)).cast("int"), (F.least(zeros, F.lit(64 - p)) + 1).cast("int")
+def _once(d: DataFrame, keep: list[str], **new: Column) -> DataFrame:
+    """New columns, each computed once a row: the optimizer copies no expression through a generator."""
+    return d.select(*keep, F.inline(F.array(F.struct(*[c.alias(n) for n, c in new.items()]))))
 
 
 def hll_registers(df: DataFrame, text: Column, error: float = 0.01) -> DataFrame:
-    """register, rank: the mergeable sketch. Partial maxima are taken before the shuffle, which moves 2**p rows a task."""
-    register, rank = hll_register(text, hll_precision(error))
-    return df.where(text.isNotNull()).select(register.alias("register"), rank.alias("rank")).groupBy("register").agg(F.max("rank").alias("rank"))
+    """register, rank: the mergeable sketch of SHA-1's first eight bytes, low bits and trailing zeros of the rest.
+
+    Partial maxima are taken before the shuffle, which moves 2**p rows a task.
+    """
+    p = hll_precision(error)
+    d = _once(df.where(text.isNotNull()), [], s=F.sha1(text))
+    d = _once(d, [], h=F.conv(_little_endian(F.col("s"), 1), 16, -10).cast("bigint"))
+    d = _once(d, ["h"], w=F.shiftrightunsigned("h", p))
+    w = F.col("w")
+    zeros = F.when(w == 0, 64).otherwise(F.bit_count(w.bitwiseAND(-w) - 1))
+    d = d.select(F.col("h").bitwiseAND(F.lit((1 << p) - 1)).cast("int").alias("register"), (F.least(zeros, F.lit(64 - p)) + 1).cast("int").alias("rank"))
+    return d.groupBy("register").agg(F.max("rank").alias("rank"))
 
 
 def hll_merge(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -59,27 +65,26 @@ def hll_count(registers: DataFrame, error: float = 0.01) -> DataFrame:
     return s.select(F.when((raw <= 2.5 * m) & (zeros > 0), F.lit(float(m)) * F.ln(F.lit(float(m)) / zeros)).otherwise(raw).cast("bigint").alias("n"))
 
 
-def _unsigned(hex16: Column) -> Column:
-    return F.conv(hex16, 16, 10).cast("decimal(38,0)")
+def _residue(hex16: Column, m: int) -> Column:
+    """An unsigned 64-bit number modulo m, in two halves, so that plain 64-bit arithmetic never overflows."""
+    high, low = (F.conv(F.substring(hex16, at, 8), 16, 10).cast("bigint") for at in (1, 9))
+    return ((high % m) * ((1 << 32) % m) + low) % m
 
 
-def bloom_positions(text: Column, bits: int, hashes: int) -> Column:
-    """The item's bit positions: (h1 + i * h2) mod bits, from MD5's two halves, without overflow."""
-    h1, h2 = _unsigned(_little_endian(F.md5(text), 1)), _unsigned(_little_endian(F.md5(text), 17))
-    # Residues first: then products stay far below 2**63.
-    a, b = (h1 % F.lit(bits).cast("decimal(38,0)")).cast("bigint"), (h2 % F.lit(bits).cast("decimal(38,0)")).cast("bigint")
-    return F.transform(F.sequence(F.lit(0), F.lit(hashes - 1)), lambda i: (a + i * b) % bits)
+def bloom_positions(df: DataFrame, keep: list[str], text: Column, bits: int, hashes: int) -> DataFrame:
+    """keep and pos: each item's bit positions (h1 + i * h2) mod bits, from MD5's two halves; fewer than 2**31 bits."""
+    d = _once(df.where(text.isNotNull()), keep, _h=F.md5(text))
+    d = _once(d, keep, _a=_residue(_little_endian(F.col("_h"), 1), bits), _b=_residue(_little_endian(F.col("_h"), 17), bits))
+    return d.select(*keep, F.explode(F.array(*[(F.col("_a") + i * F.col("_b")) % bits for i in range(hashes)])).alias("pos"))
 
 
 def bloom_bits(df: DataFrame, text: Column, capacity: int, error: float) -> DataFrame:
     """pos: the distinct bits that are set."""
-    bits, hashes = bloom_size(capacity, error)
-    return df.where(text.isNotNull()).select(F.explode(bloom_positions(text, bits, hashes)).alias("pos")).distinct()
+    return bloom_positions(df, [], text, *bloom_size(capacity, error)).distinct()
 
 
 def bloom_contains(probe: DataFrame, id_col: str, text: Column, bits_df: DataFrame, capacity: int, error: float) -> DataFrame:
     """id, maybe: whether all of an item's bits are set."""
-    bits, hashes = bloom_size(capacity, error)
-    want = probe.select(F.col(id_col), F.explode(bloom_positions(text, bits, hashes)).alias("pos")).distinct()
+    want = bloom_positions(probe, [id_col], text, *bloom_size(capacity, error)).distinct()
     hit = want.join(bits_df.withColumn("set", F.lit(1)), "pos", "left")
     return hit.groupBy(id_col).agg((F.count("*") == F.count("set")).alias("maybe"))

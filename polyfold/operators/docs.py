@@ -63,10 +63,15 @@ def flatten_columns(d: DataFrame, id_col: str, fields: dict[str, Column]) -> Dat
     return out.where(F.length(F.trim(F.col("field_content"))) > 0)
 
 
+def once(d: DataFrame, keep: list[str], new: dict[str, Column]) -> DataFrame:
+    """keep and new columns of d, each computed once a row: the optimizer copies no expression through a generator."""
+    return d.select(*keep, F.inline(F.array(F.struct(*[c.alias(n) for n, c in new.items()]))))
+
+
 def index_rows(leaves: DataFrame, stem: bool = True) -> DataFrame:
     """id, field_path, tokens, length: the full-text index of flattened documents."""
     t = T.tokens(F.col("field_content"))
-    out = leaves.select("id", "field_path", (T.stems(t) if stem else t).alias("tokens"))
+    out = once(leaves, ["id", "field_path"], {"tokens": T.stems(t) if stem else t})
     return out.withColumn("length", F.size("tokens"))
 
 
@@ -88,17 +93,11 @@ def _position_of(term: tuple[str, bool]):
 
 
 def _found(index: DataFrame, node) -> tuple[DataFrame, dict[Q.Phrase, Column]]:
-    """index rows that hold any word of the query, with its positions in columns, and the phrases' positions."""
+    """index rows with the positions of the query's words in columns, and the phrases' positions."""
     terms = Q.terms_of(node)
     cols = {t: f"_t{i}" for i, t in enumerate(terms)}
-    d = index
-    for t, name in cols.items():
-        at = F.transform(F.col("tokens"), _position_of(t))
-        d = d.withColumn(name, F.filter(at, lambda x: x.isNotNull()))
-    some = F.lit(False)
-    for name in cols.values():
-        some = some | (F.size(name) > 0)
-    d = d.where(some).select("id", "field_path", "length", *cols.values())
+    at = {name: F.filter(F.transform(F.col("tokens"), _position_of(t)), lambda x: x.isNotNull()) for t, name in cols.items()}
+    d = once(index, ["id", "field_path", "length"], at)
     return d, {p: Q.positions(p, {t: F.col(n) for t, n in cols.items()}) for p in Q.phrases_of(node)}
 
 
@@ -128,18 +127,23 @@ def full_text(index: DataFrame, query: str, on: list[str] | None = None, stem: b
     else:
         d, found = _found_in_postings(post, index.select("id", "field_path", "length"), node)
     rank_by = Q.hits(node, found)
-    d = d.select("id", "field_path", "length", Q.matches(node, found).alias("_hit"), *[F.size(rank_by[p]).alias(f"_f{i}") for i, p in enumerate(phrases)], *[(F.size(found[p]) > 0).cast("int").alias(f"_n{i}") for i, p in enumerate(phrases)])
-    totals = index.agg(F.count("*").alias("n"), F.avg("length").alias("avg"))
-    have = d.agg(*[F.coalesce(F.sum(f"_n{i}"), F.lit(0)).alias(f"_n{i}") for i in range(len(phrases))])
-    n, avg = totals.select("n").scalar(), totals.select("avg").scalar()
+    new = {"_hit": Q.matches(node, found)} | {f"_f{i}": F.size(rank_by[p]) for i, p in enumerate(phrases)} | {f"_n{i}": (F.size(found[p]) > 0).cast("int") for i, p in enumerate(phrases)}
+    d = once(d, ["id", "field_path", "length"], new)
+    have = [F.coalesce(F.sum(f"_n{i}"), F.lit(0)).alias(f"n{i}") for i in range(len(phrases))]
+    # One row of statistics, by a subquery of the same plan. Postings only hold rows with the query's words.
+    size = [F.count("*").alias("n"), F.avg("length").alias("avg")]
+    if post is None:
+        new = {"_s": d.agg(F.struct(*size, *have).alias("s")).scalar()}
+    else:
+        new = {"_s": index.agg(F.struct(*size).alias("s")).scalar(), "_p": d.agg(F.struct(*have).alias("s")).scalar()}
+    d = once(d.where("_hit"), ["id", "field_path", "length", *[f"_f{i}" for i in range(len(phrases))]], new)
+    n, avg, rows = F.col("_s.n"), F.col("_s.avg"), [F.col("_s" if post is None else "_p")[f"n{i}"] for i in range(len(phrases))]
     score = F.lit(0.0)
     for i in range(len(phrases)):
-        rows = have.select(f"_n{i}").scalar()
-        idf = F.ln((n - rows + 0.5) / (rows + 0.5))
+        idf = F.ln((n - rows[i] + 0.5) / (rows[i] + 0.5))
         idf = F.when(idf <= 0, F.lit(1e-6)).otherwise(idf)
         f = F.col(f"_f{i}").cast("double")
         score = score - idf * f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("length") / avg))
-    d = d.where("_hit")
     if on:
         d = d.where(F.col("field_path").isin(on))
     return d.withColumn("score", score).groupBy("id").agg(F.min("score").alias("score"))
@@ -216,8 +220,10 @@ class DocumentQuery:
         With fts and fuzzy both must match and the full-text score counts. offset without limit is ignored.
         """
         d = self._d.select("id", "body")
+        if self._where or self._sort:
+            d = jsonval.parsed(d)
         if self._where:
-            d = d.where(P.scan_condition(self._where, F.col("body")))
+            d = d.where(P.scan_condition(self._where, F.col("_json")))
         if self._fuzzy is not None:
             hits = fuzzy(self._trigrams if self._trigrams is not None else trigram_rows(flatten(self._d)), self._fuzzy)
             d = d.join(hits if self._fts is None else hits.select("id"), "id")
@@ -230,7 +236,7 @@ class DocumentQuery:
             order = [F.col("score").desc(), F.col("id").asc()]
         else:
             d = d.withColumn("score", F.lit(None).cast("double"))
-            order = [c for path, way in self._sort for c in jsonval.sort_keys(F.col("body"), path, way == "DESC")] + [F.col("id").asc()]
+            order = [c for path, way in self._sort for c in jsonval.sort_keys(F.col("_json"), path, way == "DESC")] + [F.col("id").asc()]
         d = d.orderBy(*order)
         if self._limit is not None:
             if self._offset:

@@ -47,9 +47,10 @@ def number_column(path: str) -> str:
 
 def materialise(d: DataFrame, paths: list[str], body: str = "data") -> DataFrame:
     """d with a text and a number column for each declared field, so that filters on them reach the scan."""
-    for p in paths:
-        d = d.withColumn(text_column(p), jsonval.text_at(F.col(body), p)).withColumn(number_column(p), jsonval.number_at(F.col(body), p))
-    return d
+    if not paths:
+        return d
+    v = F.col("_json")
+    return jsonval.parsed(d, body).select(*d.columns, *[c for p in paths for c in (jsonval.text_at(v, p).alias(text_column(p)), jsonval.number_at(v, p).alias(number_column(p)))])
 
 
 def _typed(f: P.Filter) -> Column:
@@ -72,12 +73,14 @@ def plan(filters: list[P.Filter], manifest: Manifest | None) -> tuple[list[P.Fil
     return indexed, [f for f in filters if f not in indexed]
 
 
-def condition(filters: list[P.Filter], manifest: Manifest | None, body: Column) -> Column:
+def where(d: DataFrame, filters: list[P.Filter], manifest: Manifest | None, body: str = "data") -> DataFrame:
+    """Rows that pass all filters: those on typed columns first, so that only rows they keep are parsed."""
     indexed, scanned = plan(filters, manifest)
-    out = F.lit(True)
     for f in indexed:
-        out = out & _typed(f)
-    return out & P.scan_condition(scanned, body) if scanned else out
+        d = d.where(_typed(f))
+    if scanned:
+        d = jsonval.parsed(d, body).where(P.scan_condition(scanned, F.col("_json"))).drop("_json")
+    return d
 
 
 def explain(d: DataFrame, filters: list[P.Filter], manifest: Manifest | None) -> dict[str, Any]:
@@ -89,10 +92,11 @@ def explain(d: DataFrame, filters: list[P.Filter], manifest: Manifest | None) ->
 def rows(d: DataFrame, key: str, body: str, paths: list[str]) -> DataFrame:
     """item_key, field, value, value_num: one row for each declared field that is present (JSON null included)."""
     parts = []
+    v = F.col("_json")
     for p in paths:
-        text, num = jsonval.normalized(F.col(body), P.checked_path(p))
-        parts.append(F.struct(F.lit(p).alias("field"), jsonval.found(F.col(body), p).alias("found"), text.alias("value"), num.alias("value_num"), jsonval.kind_of(jsonval.value_at(F.col(body), p)).alias("kind")))
-    out = d.select(F.col(key).alias("item_key"), F.explode(F.array(*parts)).alias("x")).where("x.found")
+        text, num = jsonval.normalized(v, P.checked_path(p))
+        parts.append(F.struct(F.lit(p).alias("field"), jsonval.found(v, p).alias("found"), text.alias("value"), num.alias("value_num"), jsonval.kind_of(jsonval.value_at(v, p)).alias("kind")))
+    out = jsonval.parsed(d, body).select(F.col(key).alias("item_key"), F.explode(F.array(*parts)).alias("x")).where("x.found")
     bad = F.raise_error(F.concat(F.lit("field is an array or object: "), F.col("x.field")))
     kind = F.when(F.col("x.kind").isin("array", "object"), bad.cast("string")).otherwise(F.col("x.value"))
     return out.select("item_key", "x.field", kind.alias("value"), "x.value_num")

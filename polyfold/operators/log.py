@@ -71,7 +71,7 @@ def range_(
     if end is not None:
         d = d.where(F.col("timestamp") <= F.lit(float(end)))
     if where:
-        d = d.where(fieldindex.condition(P.checked_filters(tuple(where)), manifest, F.col("data")))
+        d = fieldindex.where(d, P.checked_filters(tuple(where)), manifest)
     d = d.orderBy(F.col("timestamp").desc() if order == "DESC" else F.col("timestamp").asc())
     if offset:
         d = d.offset(offset)

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from polyfold.functions import filters as P
+from polyfold.functions import jsonval
 from polyfold.functions import vector as V
 
 #: From so many rows on, auto takes the index.
@@ -32,7 +33,7 @@ def _candidates(d: DataFrame, candidate_ids: list[Any] | None, filters: list[P.F
     if candidate_ids is not None:
         d = d.where(F.col("item_id").isin(list(candidate_ids))) if candidate_ids else d.limit(0)
     if filters:
-        d = d.where(P.scan_condition(P.checked_filters(tuple(filters)), F.col("metadata")))
+        d = jsonval.parsed(d, "metadata").where(P.scan_condition(P.checked_filters(tuple(filters)), F.col("_json"))).drop("_json")
     return d
 
 

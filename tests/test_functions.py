@@ -48,7 +48,7 @@ def test_json_compare_is_sqlites(spark):
     d = spark.createDataFrame([(i, v) for i, v in enumerate(VALUES)], "i int, body string")
     ops = {"==": "=", "!=": "<>", ">": ">", ">=": ">=", "<": "<", "<=": "<="}
     cases = [(op, v) for op in ops for v in (5, "5", True, 2.5, None, "abc")]
-    got = d.select("i", *[jsonval.compare(F.col("body"), "a.b", op, v).alias(f"c{k}") for k, (op, v) in enumerate(cases)]).orderBy("i").collect()
+    got = jsonval.parsed(d).select("i", *[jsonval.compare(F.col("_json"), "a.b", op, v).alias(f"c{k}") for k, (op, v) in enumerate(cases)]).orderBy("i").collect()
     for r, body in zip(got, VALUES):
         for k, (op, v) in enumerate(cases):
             want = db.execute(f"SELECT json_extract(?, '$.a.b') {ops[op]} ?", (body, v)).fetchone()[0]
@@ -57,9 +57,10 @@ def test_json_compare_is_sqlites(spark):
 
 def test_json_sort_and_found(spark):
     d = spark.createDataFrame([(i, v) for i, v in enumerate(VALUES)], "i int, body string")
-    order = [r["i"] for r in d.orderBy(*jsonval.sort_keys(F.col("body"), "a.b"), "i").collect()]
+    d = jsonval.parsed(d)
+    order = [r["i"] for r in d.orderBy(*jsonval.sort_keys(F.col("_json"), "a.b"), "i").collect()]
     assert order == [4, 5, 3, 7, 0, 1, 6, 2, 8]
-    assert [r[0] for r in d.orderBy("i").select(jsonval.found(F.col("body"), "a.b")).collect()] == [True] * 5 + [False] + [True] * 3
+    assert [r[0] for r in d.orderBy("i").select(jsonval.found(F.col("_json"), "a.b")).collect()] == [True] * 5 + [False] + [True] * 3
 
 
 def test_filters():
