@@ -88,15 +88,16 @@ def _where(term: tuple[str, bool], token: Column) -> Column:
     return token.startswith(term[0]) if term[1] else token == F.lit(term[0])
 
 
-def _position_of(term: tuple[str, bool]):
-    return lambda x, i: F.when(_where(term, x), i)
+def _is_at(term: tuple[str, bool]):
+    return lambda i: _where(term, F.get(F.col("tokens"), i))
 
 
 def _found(index: DataFrame, node) -> tuple[DataFrame, dict[Q.Phrase, Column]]:
     """index rows with the positions of the query's words in columns, and the phrases' positions."""
     terms = Q.terms_of(node)
     cols = {t: f"_t{i}" for i, t in enumerate(terms)}
-    at = {name: F.filter(F.transform(F.col("tokens"), _position_of(t)), lambda x: x.isNotNull()) for t, name in cols.items()}
+    every = F.sequence(F.lit(0), F.size("tokens") - 1)
+    at = {name: F.filter(every, _is_at(t)) for t, name in cols.items()}
     d = once(index, ["id", "field_path", "length"], at)
     return d, {p: Q.positions(p, {t: F.col(n) for t, n in cols.items()}) for p in Q.phrases_of(node)}
 
