@@ -421,6 +421,12 @@ def test_urls(spark):
     verdict = {4: "allow", 6: "block", 7: "block", 8: "block", 9: "allow", 10: "allow", 11: "allow", 13: "allow", 3: "allow"}
     want = [(i, *(x := plain_url(u))[:3], x[3] or verdict.get(i, "allow")) for i, u, _ in rows]
     assert sorted(got, key=str) == sorted(want, key=str)
+    import duckdb
+
+    db = duckdb.connect()
+    db.register("pages", pd.DataFrame(rows, columns=["page_id", "url", "html"]))
+    sql = db.execute(f"SELECT page_id, host, path, rule, verdict FROM ({queries.OP7_SQL})").fetchall()
+    assert sorted(sql, key=str) == sorted(got, key=str)
     assert url_filter.judge(d.where("false")).count() == 0
     more = spark.createDataFrame([("http://q.net/", "http://x.com/de/1")], "src string, dst string")
     one = spark.createDataFrame([(1, "http://q.net/", "")], "page_id long, url string, html string")
