@@ -277,6 +277,62 @@ def test_probabilities_sum_to_one():
     assert np.allclose((10 ** tree.table.astype(float)).sum(1), 1, atol=1e-4)
 
 
+def test_deep_contexts_are_brute_forces(spark, monkeypatch):
+    monkeypatch.setattr(lm_score, "GROUP_BYTES", 200)  # several groups of subtrees
+    monkeypatch.setattr(lm_score, "CHUNK_BYTES", 500)
+    rng = random.Random(4)
+    said = ["the cat sat on the mat", "a dog ran to the cat", "the mat ran away"]
+    rows = [(i, " ".join(rng.choice(said) for _ in range(rng.randint(0, 6)))) for i in range(30)] + [(None, "no id"), (3, "another text of 3 é"), (40, None)]
+    d = spark.createDataFrame(rows, "doc_id long, text string").coalesce(2)
+    top = 5
+    seen: dict = {}
+    for i, t in rows:
+        if fold(i, 5) != 1:
+            b = bytes(top) + (t or "").encode()
+            for i in range(top, len(b)):
+                node = 1
+                for k in range(7, -1, -1):
+                    bit = b[i] >> k & 1
+                    for depth in range(top + 1):
+                        seen.setdefault((b[i - depth : i][::-1], node), [0, 0])[bit] += 1
+                    node = node * 2 + bit
+    kt = lambda a, b: math.lgamma(a + 0.5) + math.lgamma(b + 0.5) - math.lgamma(a + b + 1) - math.log(math.pi)
+    weighted: dict = {}
+    for depth in range(top, -1, -1):
+        below: dict = Counter()
+        for (s, node), w in weighted.items():
+            if len(s) == depth + 1:
+                below[s[:-1], node] += w
+        for x in [x for x in seen if len(x[0]) == depth]:
+            own = kt(*seen[x])
+            weighted[x] = own if depth == top else np.logaddexp(own, below[x]) + math.log(0.5)
+
+    def prob(context, node, depth=0):
+        x = (context[:depth], node)
+        a, b = seen.get(x, (0, 0))
+        own = (b + 0.5) / (a + b + 1)
+        if depth == top:
+            return own
+        w = math.exp(kt(a, b) + math.log(0.5) - weighted[x]) if x in seen else 0.5
+        return w * own + (1 - w) * prob(context, node, depth + 1)
+
+    got = sorted((r["doc_id"] or -1, r["bits_per_byte"] is None, r["score"]) for r in lm_score.score_documents(d, depth=top).collect())
+    want = []
+    for i, t in rows:
+        b, score = bytes(top) + (t or "").encode(), 0.0
+        for at in range(top, len(b)):
+            node = 1
+            for k in range(7, -1, -1):
+                one, bit = prob(b[at - top : at][::-1], node), b[at] >> k & 1
+                score += math.log10(one if bit else 1 - one)
+                node = node * 2 + bit
+        want.append((i or -1, not t, score))
+    assert [x[:2] for x in got] == [x[:2] for x in sorted(want)]
+    assert np.allclose([x[2] for x in got], [x[2] for x in sorted(want)], rtol=1e-5)
+    shallow = {r["doc_id"]: r["score"] for r in lm_score.score_documents(d).collect()}
+    assert sum(x[2] > shallow[x[0]] for x in got if x[0] in shallow and not x[1]) > 20
+
+
 # Decontamination
 def edit_search(item, text):
     row = [0] * (len(text) + 1)
