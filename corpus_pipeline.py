@@ -13,27 +13,45 @@ from polyfold.llm import common as C
 from polyfold.llm import decontam, mixing, near_dedup, quality_classifier, token_output
 
 
-def _without(docs: DataFrame, out: DataFrame) -> DataFrame:
-    """docs without the ids in out's doc_id."""
-    ids = out.select(F.col("doc_id").alias("_out")).where("_out is not null").distinct()
-    return docs.join(ids, docs["doc_id"] == F.col("_out"), "left_anti").select(*[docs[c] for c in docs.columns])
+#: Column that numbers the rows within a stage: ids may be null or repeated.
+ROW = "_polyfold_row"
+
+
+def _keyed(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """docs with a number of its own in ROW for each row, written once so that it stays the same."""
+    return C.written(docs.withColumn(ROW, F.monotonically_increasing_id()), spark)
+
+
+def _without(rows: DataFrame, out: DataFrame) -> DataFrame:
+    """The documents of rows whose numbers are not in out's doc_id."""
+    gone = out.select(F.col("doc_id").alias("_out")).distinct()
+    return rows.join(gone, rows[ROW] == gone["_out"], "left_anti").drop(ROW)
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops the documents that the quality classifier rejects; it learns from the labels of the documents given."""
-    scores = quality_classifier.classify(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return _without(docs, scores.where("predicted = 0"))
+    """Drops the rows that the quality classifier rejects; it learns from the labels of the documents given."""
+    rows = _keyed(spark, docs)
+    scores = quality_classifier.classify(rows, spark.read.parquet(f"{sf_dir}/labels.parquet"), row_col=ROW)
+    return _without(rows, scores.where("predicted = 0").select(F.col(ROW).alias("doc_id")))
 
 
 def deduplicated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates, the one with the smallest id (five words, similarity 0.8)."""
-    return _without(docs, near_dedup.near_duplicates(docs, k=5, percent=80).where("not kept"))
+    """One row of each group of near-duplicates, the one with the smallest id (five words, similarity 0.8).
+
+    Null ids come last, and of rows that repeat an id the first one stays. Rows without words are in no group.
+    """
+    rows = _keyed(spark, docs)
+    found = near_dedup.near_duplicates(rows, k=5, percent=80, id_col=ROW).select(F.col("doc_id").alias(ROW), F.col("component_id").alias("_group"))
+    ids = rows.select(ROW, F.struct(F.col("doc_id").isNull().alias("a"), F.col("doc_id").alias("b"), F.col(ROW).alias("c")).alias("_rank"))
+    ranked = C.written(found.join(ids, ROW), spark)
+    kept = ranked.groupBy("_group").agg(F.min("_rank").alias("m")).select(F.col("m.c").alias(ROW))
+    return _without(rows, ranked.join(kept, ROW, "left_anti").select(F.col(ROW).alias("doc_id")))
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops the documents in which a benchmark item is found within its error budget."""
-    hits = decontam.contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return _without(docs, hits)
+    """Drops the rows in which a benchmark item is found within its error budget."""
+    rows = _keyed(spark, docs)
+    return _without(rows, decontam.contamination(rows, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), id_col=ROW))
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

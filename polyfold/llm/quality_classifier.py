@@ -117,18 +117,20 @@ def fit(stats: DataFrame, labels: DataFrame, fold: int = 4, held: int = 2, size:
     return model
 
 
-def classify(docs: DataFrame, labels: DataFrame, accept_at: float = 0.7, fold: int = 4, held: int = 2, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", **options) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, accept_at: float = 0.7, fold: int = 4, held: int = 2, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", row_col: str | None = None, **options) -> DataFrame:
     """doc_id, held_out, score and predicted (1 if score >= accept_at) of every row of docs.
 
     Null and empty texts have zero statistics and a score like any other; so have very long ones. Repeated
     rows give repeated rows. An empty table gives an empty table. Only statistics of the text enter a score.
+    row_col: a long column of docs that results carry as well, to tell rows with one id apart.
     """
     spark = docs.sparkSession
-    stats = C.written(S.with_stats(docs, id_col, text_col).select("doc_id", "features"), spark)
+    more = [row_col] if row_col else []
+    stats = C.written(S.with_stats(docs, id_col, text_col, row_col).select("doc_id", *more, "features"), spark)
     model = fit(stats, labels, fold, held, label_col=label_col, **options)
 
     def run(batch: pa.RecordBatch):
-        yield {"doc_id": batch.column("doc_id"), "score": model.score(_matrix(batch))}
+        yield {c: batch.column(c) for c in ("doc_id", *more)} | {"score": model.score(_matrix(batch))}
 
-    scored = C.arrow_map(stats, run, "doc_id long, score double")
-    return scored.select("doc_id", (C.crc_fold("doc_id", fold) == held).alias("held_out"), "score", (F.col("score") >= accept_at).cast("int").alias("predicted"))
+    scored = C.arrow_map(stats, run, ", ".join([f"{c} long" for c in ("doc_id", *more)] + ["score double"]))
+    return scored.select("doc_id", *more, (C.crc_fold("doc_id", fold) == held).alias("held_out"), "score", (F.col("score") >= accept_at).cast("int").alias("predicted"))

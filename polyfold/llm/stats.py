@@ -81,14 +81,15 @@ def document_stats(data: np.ndarray, offs: np.ndarray) -> dict[str, np.ndarray]:
     return {"n_words": as_long(n_words), "word_chars": as_long(points - sep), "n_symbols": as_long(sym), "n_dup_lines": as_long(dup), "n_repeat_words": as_long(repeated), "features": features}
 
 
-def with_stats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and the statistics of each row's whole text (null: empty). One row per row."""
+def with_stats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
+    """doc_id, row_col (a long column of docs) if given, and the statistics of each row's whole text (null: empty). One row per row."""
+    more = [row_col] if row_col else []
 
     def run(batch: pa.RecordBatch):
         ids = batch.column(0)
         for i, j, data, offs in C.pieces(batch.column(1)):
             x = document_stats(data, offs)
             f = x.pop("features")
-            yield x | {"doc_id": ids.slice(i, j - i), "features": pa.ListArray.from_arrays(pa.array(np.arange(len(f) + 1) * f.shape[1], pa.int32()), pa.array(f.ravel()))}
+            yield x | {c: batch.column(2).slice(i, j - i) for c in more} | {"doc_id": ids.slice(i, j - i), "features": pa.ListArray.from_arrays(pa.array(np.arange(len(f) + 1) * f.shape[1], pa.int32()), pa.array(f.ravel()))}
 
-    return C.arrow_map(docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col]), run, f"doc_id long, {SCHEMA}")
+    return C.arrow_map(docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col], *[docs[c] for c in more]), run, ", ".join(["doc_id long", *[f"{c} long" for c in more], SCHEMA]))

@@ -573,6 +573,29 @@ def test_pipeline_takes_odd_rows(spark, odd, tmp_path):
         assert stage(spark, odd.where("false"), str(tmp_path)).count() == 0
 
 
+def test_pipeline_acts_on_rows(spark, tmp_path):
+    import corpus_pipeline as p
+
+    item = "this benchmark item has quite a few words of its own to be found"
+    copy = "one two three four five six seven eight nine ten eleven twelve"
+    rows = [(None, f"before {item} after"), (1, f"so {item} too"), (1, "clean text under the id of a contaminated one, rather long"), (None, copy), (5, copy), (5, copy), (6, copy + " thirteen"), (None, "a null id with clean words and no copies at all"), (7, None), (7, None), (None, "twins without ids are linked like any other texts"), (None, "twins without ids are linked like any other texts")]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    got = lambda df: sorted(map(str, map(tuple, df.collect())))
+    assert got(p.decontaminated(spark, d, str(tmp_path))) == sorted(str(r) for r in rows if item not in (r[1] or ""))
+    assert got(p.deduplicated(spark, d, "")) == sorted(map(str, rows[:3] + [rows[4]] + rows[7:11]))
+    # The classifier's verdict takes effect on rows: prose without an id, and junk beside prose under one id.
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    mixed = docs.union(docs.selectExpr("cast(null as long)", "text")).union(docs.selectExpr("doc_id", "'' as text"))
+    scores = quality_classifier.classify(mixed.selectExpr("*", "monotonically_increasing_id() as r"), labels, row_col="r")
+    bad = scores.where("predicted = 0")
+    assert bad.where("doc_id is null").count() > 0
+    kept = p.quality(spark, mixed, SF)
+    assert kept.count() == scores.where("predicted = 1").count()
+    assert kept.where("doc_id is null").count() == scores.where("predicted = 1 and doc_id is null").count()
+
+
 def test_pieces_and_runs():
     t = pa.array(["a", None, "bb" * 50, "", "c"])
     got = [(i, j, bytes(d), o.tolist()) for i, j, d, o in C.pieces(t, limit=10)]
