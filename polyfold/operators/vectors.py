@@ -77,6 +77,66 @@ def near(
     return _ranked(rows, query, k, metric)
 
 
+#: Queries and rows of the blocks that near_each compares.
+QUERY_BLOCK, ROW_BLOCK = 1024, 4096
+
+
+def _unit(x: np.ndarray) -> np.ndarray:
+    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+
+
+def _nearest(m: np.ndarray, x: np.ndarray, order: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For unit queries m and rows x: query, row and score of each query's k nearest rows; ties go by order (row numbers by id)."""
+    rough = (1 - m @ x.T) / 2
+    n = min(k, len(x))
+    last = np.partition(rough, n - 1, axis=1)[:, n - 1] + 1e-9
+    query, row, score = [], [], []
+    for i in range(len(m)):
+        at = order[rough[i, order] <= last[i]]
+        s = (1 - (x[at] * m[i]).sum(1)) / 2  # the same for equal rows, which a matrix product need not be
+        best = np.argsort(s, kind="stable")[:n]
+        query.append(np.full(n, i))
+        row.append(at[best])
+        score.append(s[best])
+    return np.concatenate(query), np.concatenate(row), np.concatenate(score)
+
+
+def near_each(d: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
+    """query_id, item_id, score: for each row of queries (query_id, vector), any number, the k nearest of d by cosine.
+
+    Blocks of queries meet blocks of rows, and k rows for each query and block of rows go on. Ties go by item_id.
+    query_id and item_id are long.
+    """
+    import pyarrow as pa
+    import pyarrow.compute
+    from pyspark.sql import Window
+
+    def blocks(rows: DataFrame, key: str, size: int, names: str) -> DataFrame:
+        ids, data = names.split()
+
+        def run(batches):
+            for b in batches:
+                for i in range(0, b.num_rows, size):
+                    part = b.slice(i, size)
+                    x = np.stack(part.column(1).to_numpy(zero_copy_only=False)).astype(np.float32)
+                    yield pa.RecordBatch.from_pydict({ids: pa.array([part.column(0).to_pylist()], pa.list_(pa.int64())), data: pa.array([x.tobytes()], pa.binary())})
+
+        return rows.where("vector is not null").select(F.col(key).cast("long"), "vector").mapInArrow(run, f"{ids} array<long>, {data} binary")
+
+    def run(batches):
+        for b in batches:
+            for i in range(b.num_rows):
+                ids, items = b.column("ids")[i].values, b.column("items")[i].values
+                m, x = (_unit(np.frombuffer(b.column(c)[i].as_buffer(), np.float32).reshape(len(y), -1).astype(np.float64)) for c, y in (("m", ids), ("x", items)))
+                q, r, s = _nearest(m, x, pa.compute.sort_indices(items, null_placement="at_start").to_numpy(), k)
+                yield pa.RecordBatch.from_pydict({"query_id": ids.take(pa.array(q)), "item_id": items.take(pa.array(r)), "score": pa.array(s)})
+
+    pairs = blocks(queries, "query_id", QUERY_BLOCK, "ids m").crossJoin(blocks(d, "item_id", ROW_BLOCK, "items x"))
+    got = pairs.mapInArrow(run, "query_id long, item_id long, score double")
+    w = Window.partitionBy("query_id").orderBy("score", "item_id")
+    return got.withColumn("n", F.row_number().over(w)).where(F.col("n") <= k).select("query_id", "item_id", "score")
+
+
 def near_many(d: DataFrame, queries: list[tuple[Any, Sequence[float]]], k: int = 10) -> DataFrame:
     """query_id, item_id, score: the k nearest by cosine for a stated set of queries, all in one scan.
 
@@ -84,10 +144,11 @@ def near_many(d: DataFrame, queries: list[tuple[Any, Sequence[float]]], k: int =
     for each query and task.
     """
     import pyarrow as pa
+    import pyarrow.compute
 
     ids = [q for q, _ in queries]
     m = np.array([v for _, v in queries], np.float64)
-    m /= np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12)
+    m = _unit(m)
     id_type = dict(d.dtypes)["item_id"]
 
     def run(batches):
@@ -95,11 +156,9 @@ def near_many(d: DataFrame, queries: list[tuple[Any, Sequence[float]]], k: int =
             if not b.num_rows:
                 continue
             x = np.stack(b.column("vector").to_numpy(zero_copy_only=False)).astype(np.float64)
-            x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
-            score = (1 - m @ x.T) / 2
-            n = min(k, score.shape[1])
-            at = np.argpartition(score, n - 1, axis=1)[:, :n]
-            yield pa.RecordBatch.from_pydict({"query": pa.array(np.repeat(np.arange(len(ids)), n)), "item_id": b.column("item_id").take(pa.array(at.ravel())), "score": pa.array(np.take_along_axis(score, at, 1).ravel())})
+            order = pa.compute.sort_indices(b.column("item_id"), null_placement="at_start").to_numpy()
+            query, at, score = _nearest(m, _unit(x), order, k)
+            yield pa.RecordBatch.from_pydict({"query": pa.array(query), "item_id": b.column("item_id").take(pa.array(at)), "score": pa.array(score)})
 
     from pyspark.sql import Window
 

@@ -237,3 +237,11 @@ def vec_near_many(spark: SparkSession, d: str) -> DataFrame:
     v = _vectors(spark, d)
     queries = [(r["item_id"], list(r["vector"])) for r in v.where("item_id < 5").select("item_id", "vector").orderBy("item_id").limit(5).collect()]
     return vectors.near_many(v, queries, 10).withColumn("score", F.round("score", 6))
+
+
+@query()
+def vec_near_each(spark: SparkSession, d: str) -> DataFrame:
+    """Every row whose id is divisible by 20 against all rows; a test holds the operator against brute force."""
+    v = _vectors(spark, d)
+    queries = v.where("item_id % 20 = 0").select(F.col("item_id").alias("query_id"), "vector")
+    return vectors.near_each(v, queries, 10).withColumn("score", F.round("score", 6))

@@ -159,6 +159,27 @@ def test_lsh(spark):
     assert len(many) == 15 and all(any(r["query_id"] == r["item_id"] for r in many if r["query_id"] == i) for i in range(3))
 
 
+def test_nearest_of_many_with_ties(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "QUERY_BLOCK", 3)
+    monkeypatch.setattr(vectors, "ROW_BLOCK", 50)
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(240, 16)).astype(np.float32)
+    x[rng.permutation(240)[:90]] = x[0]  # a group of copies, larger than k
+    ids = rng.permutation(240)
+    d = spark.createDataFrame([(int(i), v.tolist(), None) for i, v in zip(ids, x)], "item_id long, vector array<float>, metadata string").coalesce(2)
+    u = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    want = {}
+    for i, q in zip(ids, u):
+        if i % 20 == 0:
+            ranked = sorted((round(float((1 - (q * v).sum()) / 2), 9), int(j)) for j, v in zip(ids, u))
+            want |= {(int(i), j): s for s, j in ranked[:7]}
+    each = vectors.near_each(d, d.where("item_id % 20 = 0").selectExpr("item_id as query_id", "vector"), 7).collect()
+    many = vectors.near_many(d, [(int(i), v.tolist()) for i, v in zip(ids, x) if i % 20 == 0], 7).collect()
+    for got in (each, many):
+        assert len(got) == 84 and {(r["query_id"], r["item_id"]) for r in got} == set(want)
+        assert all(abs(r["score"] - want[r["query_id"], r["item_id"]]) < 1e-6 for r in got)
+
+
 def test_graph(spark):
     g = spark.createDataFrame([("r", "a", "p", None), ("r", "b", "p", None), ("a", "r", "back", None), ("r", "a", "q", '{"w":1}')], "source string, target string, label string, metadata string")
     assert sorted(r[0] for r in graph.children(g, "r").collect()) == ["a", "a", "b"]
