@@ -15,11 +15,11 @@ from polyfold.llm import common as C
 #: (host, path, verdict)
 RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Targets in pages: the canonical link and the redirect of a refresh, either attribute order.
-LINKS = [
-    r"""(?is)<link\b(?=[^>]*\brel\s*=\s*["']?canonical\b)[^>]*\bhref\s*=\s*["']?([^"'\s>]+)""",
-    r"""(?is)<meta\b(?=[^>]*\bhttp-equiv\s*=\s*["']?refresh\b)[^>]*\bcontent\s*=\s*["'][^"']*?url\s*=\s*([^"'\s>]+)""",
-]
+#: Targets in pages: canonical links, and the contents of refreshes (quotes included), either attribute order.
+CANONICAL = r"""(?is)<link\b(?=[^>]*\brel\s*=\s*["']?canonical\b)[^>]*\bhref\s*=\s*["']?([^"'\s>]+)"""
+REFRESH = r"""(?is)<meta\b(?=[^>]*\bhttp-equiv\s*=\s*["']?refresh\b)[^>]*\bcontent\s*=\s*("[^">]*|'[^'>]*|[^"'\s>][^\s>]*)"""
+#: The target in a refresh's content, quoted or not.
+JUMP = r"""(?is)url\s*=\s*["']?\s*([^"'\s>]+)"""
 
 
 def host_path(url: Column) -> tuple[Column, Column]:
@@ -45,20 +45,34 @@ def node_key(url: Column) -> Column:
     return F.concat(F.translate(head, _UPPER, _LOWER), F.substring(u, F.length(head) + 1, F.length(u)))
 
 
-def absolute(target: Column, host: Column, url: Column) -> Column:
-    """A link's target as a whole url: //host/path and /path follow the page; other relative ones are left."""
+def _plain(path: Column) -> Column:
+    """A path from / on without its segments . and .. ."""
+    parts = F.split(path, "/")
+    kept = F.aggregate(parts, F.array().cast("array<string>"), lambda acc, x: F.when(x == "..", F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(1)))).when(x == ".", acc).otherwise(F.concat(acc, F.array(x))))
+    out = F.array_join(kept, "/")
+    return F.when(F.element_at(parts, -1).isin(".", ".."), F.concat(out, F.lit("/"))).otherwise(out)
+
+
+def absolute(target: Column, host: Column, path: Column, url: Column) -> Column:
+    """A link's target as a whole url, resolved against the page's; null for other schemes (mailto:x)."""
     scheme = F.regexp_extract(url, r"^([^:/?#]+)://", 1)
     t = F.replace(target, F.lit("&amp;"), F.lit("&"))
-    return F.when(t.startswith("//"), F.concat(scheme, F.lit(":"), t)).when(t.startswith("/"), F.concat(scheme, F.lit("://"), host, t)).otherwise(t)
+    own, page = F.regexp_extract(t, r"(?s)^([^?#]*)", 1), F.when(path == "", F.lit("/")).otherwise(path)
+    at = F.concat(scheme, F.lit("://"), host)
+    rest = F.substring(t, F.length(own) + 1, F.length(t))
+    whole = F.when(own == "", page).when(own.startswith("/"), _plain(own)).otherwise(_plain(F.concat(F.regexp_extract(page, r"(?s)^(.*/)", 1), own)))
+    query = F.when((own == "") & rest.startswith("#"), F.regexp_extract(url, r"(?s)(\?[^#]*)", 1)).otherwise(F.lit(""))
+    return F.when(t.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*://"), t).when(t.startswith("//"), F.concat(scheme, F.lit(":"), t)).when(t.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*:"), None).otherwise(F.concat(at, whole, query, rest))
 
 
 def link_edges(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """src, dst: the urls of pages and the targets of their canonical links and refresh redirects."""
-    url = pages[url_col]
-    host, _ = host_path(url)
-    found = F.array(*[absolute(F.regexp_extract(F.coalesce(pages[html_col], F.lit("")), p, 1), host, url) for p in LINKS])
-    e = pages.select(url.alias("src"), F.explode(F.filter(found, lambda x: F.instr(x, "://") > 0)).alias("dst"))
-    return e.where("src is not null and instr(src, '://') > 0")
+    """src, dst: the urls of pages and the targets of all their canonical links and refresh redirects."""
+    url, html = pages[url_col], F.coalesce(pages[html_col], F.lit(""))
+    jumps = F.transform(F.regexp_extract_all(html, F.lit(REFRESH), 1), lambda x: F.regexp_extract(x, JUMP, 1))
+    found = F.concat(F.regexp_extract_all(html, F.lit(CANONICAL), 1), jumps)
+    e = pages.select(url.alias("src"), F.explode(found).alias("target")).where("target <> '' and src is not null and instr(src, '://') > 0")
+    host, path = host_path(F.col("src"))
+    return e.select("src", absolute(F.col("target"), host, path, F.col("src")).alias("dst")).where("instr(dst, '://') > 0")
 
 
 def judge(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, redirects: DataFrame | None = None, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

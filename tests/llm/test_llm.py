@@ -489,6 +489,26 @@ def test_urls(spark):
     assert url_filter.judge(one, redirects=more).first()["verdict"] == "block"
 
 
+def test_forms_of_links(spark):
+    meta = lambda content: f"<meta http-equiv=refresh content={content}>"
+    to = lambda u: f'<link rel="canonical" href="{u}">'
+    rows = [
+        (1, "http://x.com/de/1", "", "block"), (2, "http://x.com/fr/1", "", "allow"),
+        # Quotes within the content, and content without quotes.
+        (10, "http://n1.net/", meta("\"0;url='http://x.com/de/1'\""), "block"), (11, "http://n2.net/", meta("'0; URL=\"http://x.com/de/1\"'"), "block"),
+        (12, "http://n3.net/", meta("0;url=http://x.com/de/1"), "block"), (13, "http://n4.net/", "<meta content=0;url=http://x.com/de/1 http-equiv=refresh>", "block"),
+        # All links of a page count.
+        (20, "http://n5.net/", to("http://n0.net/") + to("http://x.com/de/1"), "block"), (21, "http://n6.net/", meta('"5"') + meta('"0;url=http://n0.net/a"') + meta('"0;url=http://x.com/de/1"'), "block"),
+        # Relative targets: bad.net/a/b/t, /a/t, /t and ?p=2 are aliases of a blocked page.
+        (30, "http://bad.net/a/b/t", to("http://x.com/de/2"), "block"), (31, "http://bad.net/a/b/s", to("t"), "block"), (32, "http://bad.net/a/b/c/s?q", to("../t#f"), "block"),
+        (33, "http://bad.net/a/b/c/d/", to("./../.././t"), "block"), (34, "http://bad.net/q/s", to("/a/x/../b/./t"), "block"), (35, "http://bad.net/p?p=2", to("http://x.com/de/3"), "block"),
+        (36, "http://bad.net/p?p=1", to("?p=2"), "block"), (37, "http://bad.net", to("../a/b/t"), "block"), (38, "http://bad.net/r", to("a/b/t?u=http://x.com/de/1"), "allow"),
+        (39, "http://bad.net/m", to("mailto:x@x.com"), "allow"), (40, "http://bad.net/de/9", to("de/9"), "allow"), (41, "http://bad.net/z", to("#top"), "allow"),
+    ]
+    d = spark.createDataFrame([r[:3] for r in rows], "page_id long, url string, html string")
+    assert {(r["page_id"], r["verdict"]) for r in url_filter.judge(d).collect()} == {(r[0], r[3]) for r in rows}
+
+
 # Mixing
 def test_mixing(odd, none, docs):
     got = mixing.plan_mix(odd).select("doc_id", "text", "source", "_mix.*").collect()
