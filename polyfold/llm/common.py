@@ -6,8 +6,9 @@ documents at a time, without building Python strings. Nulls count as empty texts
 
 from __future__ import annotations
 
-import gc
+import atexit
 import tempfile
+import threading
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -22,10 +23,15 @@ U64 = np.uint64
 ROWS_PER_BATCH = 2000
 #: Bytes of text handled at once; a longer document is a piece of its own.
 PIECE_BYTES = 2 << 20
+#: Span hashes are polynomials modulo the Mersenne prime 2**31 - 1, at two random points (LANES): modulo a power of two
+#: any odd point makes some pairs of strings collide (Thue-Morse words).
+PRIME, LANES = U64(2**31 - 1), 2
+#: Numbers that kernels work on at a time, to stay in the processor's cache.
+CACHED = 1 << 13
 _rng = np.random.default_rng(20240607)
-BYTE_CODE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * U64(2) + U64(1)
-BASE = 0x9E3779B97F4A7C15 | 1
-_POW = _INV = np.ones(1, U64)
+BYTE_CODE = _rng.integers(1, 2**31 - 1, (LANES, 256), dtype=np.uint64)
+POINT = [int(x) for x in _rng.integers(2**20, 2**31 - 1, LANES)]
+_POW = _INV = np.ones((LANES, 1), U64)
 #: Separators of words: space and bytes 9 to 13.
 IS_SEP = np.zeros(256, bool)
 IS_SEP[[32, 9, 10, 11, 12, 13]] = True
@@ -33,15 +39,28 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
 
+def _fold(x: np.ndarray) -> np.ndarray:
+    """x, in place, made smaller without changing it modulo PRIME."""
+    high = x >> U64(31)
+    x &= PRIME
+    x += high
+    return x
+
+
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the hash base and of its inverse modulo 2**64, at least n of each."""
+    """Powers of the points and of their inverses modulo PRIME, at least n of each."""
     global _POW, _INV
-    if len(_POW) < n:
+    if _POW.shape[1] < n:
         n = max(n, PIECE_BYTES + 1)
-        for name, base in (("_POW", BASE), ("_INV", pow(BASE, -1, 2**64))):
-            x = np.full(n, base, U64)
-            x[0] = 1
-            globals()[name] = np.multiply.accumulate(x)
+        for name, sign in (("_POW", 1), ("_INV", -1)):
+            x = np.ones((LANES, n), U64)
+            for k, point in enumerate(POINT):
+                m = 1
+                while m < n:
+                    step = U64(pow(point, sign * m, int(PRIME)))
+                    x[k, m : 2 * m] = _fold(_fold(x[k, : min(m, n - m)] * step))
+                    m *= 2
+            globals()[name] = x
     return _POW, _INV
 
 
@@ -55,17 +74,52 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def prefix(data: np.ndarray) -> np.ndarray:
-    """Prefix sums of the polynomial hash; span_hash reads any span off them."""
-    pw, _ = powers(len(data) + 1)
-    s = np.empty(len(data) + 1, U64)
-    s[0] = 0
-    np.cumsum(BYTE_CODE[data] * pw[: len(data)], out=s[1:])
+    """Prefix sums of the polynomial hash, one row a lane; span_hash reads any span off them. For up to 2**31 bytes."""
+    pw, n = powers(len(data) + 1)[0], len(data)
+    s = np.zeros((LANES, n + 1), U64)
+    for k in range(LANES):
+        for i in range(0, n, CACHED):
+            x = BYTE_CODE[k].take(data[i : i + CACHED])
+            x *= pw[k, i : i + len(x)]
+            _fold(x)
+            x[0] += s[k, i]
+            np.cumsum(x, out=s[k, i + 1 : i + 1 + len(x)])
     return s
 
 
+def _hashed(n: int, part: Callable[[int, slice], tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """n hashes; part gives differences of prefix sums and inverse powers for a lane and a slice of the hashes."""
+    out = np.empty(n, U64)
+    for i in range(0, n, CACHED):
+        at = slice(i, min(i + CACHED, n))
+        for k in range(LANES):
+            x, inverse = part(k, at)
+            _fold(_fold(x))
+            x *= inverse
+            _fold(_fold(x))
+            x -= PRIME * (x >= PRIME)
+            if k:
+                x <<= U64(31 * k)
+                out[at] |= x
+            else:
+                out[at] = x
+        out[at] = mix(out[at])
+    return out
+
+
 def span_hash(s: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Hashes of the bytes from a to b; equal bytes have equal hashes wherever they stand."""
-    return mix((s[b] - s[a]) * powers(len(s))[1][a])
+    """62-bit hashes of the bytes from a to b; equal bytes have equal hashes wherever they stand.
+
+    Two strings of n bytes, chosen without knowing the points, collide with a probability of at most (n / 2**31)**2.
+    """
+    inverse = powers(s.shape[1])[1]
+    return _hashed(len(a), lambda k, at: (s[k].take(b[at]) - s[k].take(a[at]), inverse[k].take(a[at])))
+
+
+def window_hash(s: np.ndarray, n: int) -> np.ndarray:
+    """The same for all spans of n bytes, by their starts."""
+    inverse = powers(s.shape[1])[1]
+    return _hashed(max(s.shape[1] - n, 0), lambda k, at: (s[k, at.start + n : at.stop + n] - s[k, at], inverse[k, at]))
 
 
 def pieces(texts: pa.Array, limit: int = PIECE_BYTES, rows: int = 1 << 14) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -128,49 +182,89 @@ def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[dict]], sch
     return df.mapInArrow(run, schema)
 
 
+def fresh(columns: list[str], *names: str) -> list[str]:
+    """The names, with underscores before those that columns have already (in either case)."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def crc_fold(col: str, n: int) -> Column:
     """crc32 of the id as text, modulo n; a null id counts as the empty text."""
     return F.crc32(F.coalesce(F.col(col).cast("string"), F.lit("")).cast("binary")) % F.lit(n)
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder in spark.checkpoint.dir; one of our own only where that is unset."""
+    """The shared folder of spark.checkpoint.dir; one of our own only where that is unset and all runs on one machine."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         at = "file://" + tempfile.mkdtemp(prefix="polyfold-")
         spark.sparkContext.setCheckpointDir(at)
     return at.rstrip("/")
 
 
+#: Tables of written() that are still there: path, session and the thread that wrote it.
+_left: dict[str, tuple[SparkSession, int]] = {}
+
+
 def written(df: DataFrame, spark: SparkSession) -> DataFrame:
-    """df as a Parquet table in the shared folder: lineage ends here and lost executors cost no recomputation."""
+    """df as a Parquet table in the shared folder: lineage ends here and lost executors cost no recomputation.
+
+    Shuffles that made it are deleted at once; the table itself by discard(), or when Python ends.
+    """
     path = f"{scratch_dir(spark)}/polyfold-{uuid.uuid4().hex}"
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(key)
-    spark.conf.set(key, str(min(int(before), ROWS_PER_BATCH)))  # rows may be long texts
+    _left[path] = spark, threading.get_ident()
+    rows = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    conf = {"spark.sql.execution.arrow.maxRecordsPerBatch": str(min(int(rows), ROWS_PER_BATCH)), "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}  # rows may be long texts
+    before = {k: spark.conf.get(k) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
     try:
         df.write.option("compression", "zstd").parquet(path)
     finally:
-        spark.conf.set(key, before)
+        for k, v in before.items():
+            spark.conf.set(k, v)
     out = spark.read.schema(df.schema).parquet(path)
     out._polyfold_path = path
     return out
 
 
+def _delete(path: str) -> None:
+    if path in _left:
+        spark, _ = _left.pop(path)
+        jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+        jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
+
+
 def discard(*tables: DataFrame) -> None:
-    """Deletes tables made by written() that nothing reads any more, and lets go of finished shuffles."""
+    """Deletes tables made by written() that nothing reads any more."""
     for df in tables:
-        path = getattr(df, "_polyfold_path", None)
-        if path:
-            spark = df.sparkSession
-            jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
-            jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
+        _delete(getattr(df, "_polyfold_path", ""))
+
 
+def finished(make: Callable[[], DataFrame], spark: SparkSession) -> DataFrame:
+    """What make returns, written; tables that this thread wrote on the way are deleted."""
+    before = set(_left)
+    out = written(make(), spark)
+    for path, (_, thread) in list(_left.items()):
+        if path not in before and path != out._polyfold_path and thread == threading.get_ident():
+            _delete(path)
+    return out
 
-def release(spark: SparkSession) -> None:
-    """Lets Spark's cleaner drop the shuffle files of finished steps."""
-    gc.collect()
-    spark._jvm.System.gc()
+
+@atexit.register
+def _discard_all() -> None:
+    for path in list(_left):
+        try:
+            _delete(path)
+        except Exception:  # noqa: BLE001 - the JVM may be gone, and its folder with it
+            _left.clear()
 
 
 #: Edges, after each partition's own contraction, that one task may join up.
@@ -216,9 +310,9 @@ def components(edges: DataFrame, spark: SparkSession) -> DataFrame:
     """
     e = written(_contract(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v"), False), spark)
     if e.count() <= SMALL_EDGES:
-        out = written(_contract(e.coalesce(1), True), spark)
+        out = written(_contract(e.coalesce(1), True).toDF("node", "component"), spark)
         discard(e)
-        return out.toDF("node", "component")
+        return out
     # Done when a step changes nothing: the edges are then stars whose centres are the smallest nodes.
     state = lambda df: df.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0).cast("decimal(38,0)"))).first()
     before = None
@@ -232,11 +326,12 @@ def components(edges: DataFrame, spark: SparkSession) -> DataFrame:
         new = written(small, spark)
         discard(e)
         e, after = new, state(new)
-        release(spark)
         if before == after:
             break
         before = after
-    return e.select(F.col("u").alias("node"), F.col("v").alias("component")).union(e.select(F.col("v"), F.col("v")).distinct().toDF("node", "component"))
+    out = e.select(F.col("u").alias("node"), F.col("v").alias("component")).union(e.select(F.col("v"), F.col("v")).distinct().toDF("node", "component"))
+    out._polyfold_path = e._polyfold_path
+    return out
 
 
 def runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:

@@ -401,7 +401,6 @@ def score_documents(docs: DataFrame, fold: int = 5, held: int = 1, id_col: str =
     want_words = to_arrow_schema(_parse_datatype_string(schema))
     back = C.written(chunks.select("chunk", "bytes", "text").groupBy("chunk").cogroup(back.groupBy("chunk")).applyInArrow(known, schema), spark)
     C.discard(totals)
-    C.release(spark)
     back = back.select("*", F.lit(None).cast("long").alias("group"), F.lit(None).cast("binary").alias("logs"))
     # Bytes: at most 2**24 triples and as many bit nodes reach the driver.
     tri = _unpack("tri", "tri_n", np.int32, "chunk long, k int, i int, c long")(chunks).groupBy("k").agg(F.sum("c").alias("c")).toArrow()
@@ -415,7 +414,6 @@ def score_documents(docs: DataFrame, fold: int = 5, held: int = 1, id_col: str =
             return pa.table({"group": [t["group"][0].as_py()], "chunks": [t["chunk"].to_pylist()], "runs": [t["runs"].to_pylist()], "runs_n": [t["runs_n"].to_pylist()], "node": [nodes.tobytes()], "sum": [sums.tobytes()]})
 
         trees = C.written(_dealt(chunks, depth, groups).groupBy("group").applyInArrow(weigh, "group long, chunks array<long>, runs array<binary>, runs_n array<binary>, node binary, sum binary"), spark)
-        C.release(spark)
 
         def unpacked(batch: pa.RecordBatch):
             for k, v in zip(batch.column("node"), batch.column("sum")):

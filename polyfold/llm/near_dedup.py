@@ -111,16 +111,20 @@ def _numpy(x: pa.ChunkedArray | pa.Array) -> np.ndarray:
     return x.to_numpy(zero_copy_only=False) if isinstance(x, pa.Array) else x.combine_chunks().to_numpy(zero_copy_only=False)
 
 
+def _keys(sets: list[np.ndarray]) -> dict[str, np.ndarray]:
+    """n (set size), k1 and k2: 128 bits that tell sets apart."""
+    one, two = (np.array([f(x).sum(dtype=C.U64) for x in sets], C.U64).view(np.int64) for f in (C.mix, lambda x: C.mix(x ^ C.U64(0x5DEECE66D))))
+    return {"n": np.array([len(x) for x in sets], np.int64), "k1": one, "k2": two}
+
+
 def features(docs: DataFrame, k: int) -> DataFrame:
-    """doc_id, n (set size), k1 and k2 (128 bits that identify the set), sig (the signature, 16 bits a hash)."""
+    """doc_id, n, k1, k2 and sig (the signature, 16 bits a hash) of each row."""
 
     def run(batch: pa.RecordBatch):
         for i, j, data, offs in C.pieces(batch.column(1)):
             sets = shingle_sets(data, offs, k)
-            n = np.array([len(s) for s in sets], np.int64)
-            sig = np.stack([signature(s) for s in sets]).astype(np.uint16)
-            ids = [np.array([f(s).sum(dtype=C.U64) for s in sets], C.U64).view(np.int64) for f in (C.mix, lambda s: C.mix(s ^ C.U64(0x5DEECE66D)))]
-            yield {"doc_id": batch.column(0).slice(i, j - i), "n": n, "k1": ids[0], "k2": ids[1], "sig": pa.array([x.tobytes() for x in sig], pa.binary())}
+            sig = np.stack([signature(x) for x in sets]).astype(np.uint16)
+            yield _keys(sets) | {"doc_id": batch.column(0).slice(i, j - i), "sig": pa.array([x.tobytes() for x in sig], pa.binary())}
 
     return C.arrow_map(docs, run, "doc_id long, n long, k1 long, k2 long, sig binary")
 
@@ -140,15 +144,21 @@ def bands(reps: DataFrame) -> DataFrame:
     return C.arrow_map(reps.select("rep", "sig"), run, "key long, band int, rep long")
 
 
-def _sets(members: DataFrame, docs: DataFrame, k: int) -> DataFrame:
-    """id, items: the full shingle sets of the documents whose ids are in members (_id)."""
-    some = docs.join(members.select("_id").distinct(), docs["doc_id"] == F.col("_id"), "left_semi")
+def class_sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
+    """id, items: the full shingle set of each class of wanted (rep, low, n, k1, k2), once.
+
+    A class's set comes from a text of its smallest document, found again by the set itself: other texts of that
+    document belong to other classes.
+    """
+    some = docs.join(wanted.select(F.col("low").alias("_id")).distinct(), docs["doc_id"] == F.col("_id"), "left_semi")
 
     def run(batch: pa.RecordBatch):
         for i, j, data, offs in C.pieces(batch.column(1)):
-            yield {"id": batch.column(0).slice(i, j - i), "items": pa.array([s.tobytes() for s in shingle_sets(data, offs, k)], pa.binary())}
+            sets = shingle_sets(data, offs, k)
+            yield _keys(sets) | {"items": pa.array([x.tobytes() for x in sets], pa.binary())}
 
-    return C.arrow_map(some, run, "id long, items binary").dropDuplicates(["id"])
+    keys = ["n", "k1", "k2"]
+    return C.arrow_map(some.select("doc_id", "text"), run, "n long, k1 long, k2 long, items binary").dropDuplicates(keys).join(wanted.select(F.col("rep").alias("id"), *keys), keys).select("id", "items")
 
 
 def _linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
@@ -157,9 +167,8 @@ def _linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(z) - both)
 
 
-def verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full shingle sets satisfy 100 * intersection >= percent * union."""
-    sets = _sets(pairs.select(F.explode(F.array("a", "b")).alias("_id")), docs, k)
+def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose full shingle sets (id, items) satisfy 100 * intersection >= percent * union."""
     both = pairs.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b")
 
     def test(batch: pa.RecordBatch):
@@ -169,10 +178,9 @@ def verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFra
     return C.arrow_map(both.select("a", "b", "sa", "sb"), test, "a long, b long")
 
 
-def verified_blocks(tasks: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+def verified_blocks(tasks: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The same for tasks (task, a, b: lists of pairs): each set comes once to a task, whatever its pairs."""
     members = tasks.select("task", F.explode(F.array_distinct(F.concat("a", "b"))).alias("_id"))
-    sets = _sets(members, docs, k)
     none = F.lit(None).cast("array<long>")
     rows = members.join(sets, F.col("_id") == F.col("id")).select("task", "id", "items", none.alias("a"), none.alias("b"))
     rows = rows.union(tasks.select("task", F.lit(None).cast("long"), F.lit(None).cast("binary"), "a", "b"))
@@ -269,50 +277,62 @@ def _across(multi: DataFrame, reps: DataFrame, comps: DataFrame, percent: int, l
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id (smallest id reachable over links, itself included) and kept of every row.
 
-    Links hold for 100 * intersection >= percent * union of shingle sets. Texts without words (null, empty,
-    only separators) have empty sets and link with nothing. A null id has a null component and is kept.
-    Rows that repeat an id share its component, all of them kept or none; if their texts differ, the id is linked by
-    one of them. Ties go to the smallest id. Sets
-    are compared by 64-bit hashes of their shingles. An empty table gives an empty table.
+    Links hold for 100 * intersection >= percent * union of shingle sets; rows that repeat an id are linked with each
+    other, whatever their texts. Texts without words (null, empty, only separators) have empty sets and link with
+    nothing, not even by their id. A null id has a null component, is kept and links nothing. Very long texts count
+    whole. Ties go to the smallest id. Sets are compared by 62-bit hashes of their words. An empty table gives an
+    empty table. Other columns of docs, whatever their names, are not read.
     """
     spark: SparkSession = docs.sparkSession
     at = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
     least = least_matches(percent / 100)
     feat = C.written(features(at, k), spark)
-    classes = feat.where("n > 0 and doc_id is not null").groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("rep"))
-    classes = C.written(classes, spark)
-    reps = C.written(feat.join(classes.select(F.col("rep").alias("_r"), F.col("k1").alias("_k")), (F.col("doc_id") == F.col("_r")) & (F.col("k1") == F.col("_k"))).select(F.col("doc_id").alias("rep"), "n", "sig").dropDuplicates(["rep"]), spark)
+    # Equal sets are one class, numbered by rep; its smallest document is low.
+    keys = ["n", "k1", "k2"]
+    known = feat.where("n > 0 and doc_id is not null")
+    classes = known.groupBy(*keys).agg(F.min("doc_id").alias("low"), F.first("sig").alias("sig"))
+    classes = C.written(classes.withColumn("rep", F.monotonically_increasing_id()), spark)
+    reps = classes.select("rep", "n", "sig")
+    # An id with several sets links its classes.
+    repeated = known.groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 1").select("doc_id")
+    of = known.join(repeated, "doc_id").select("doc_id", *keys).distinct().join(classes.select(*keys, "rep"), keys).select("doc_id", "rep")
+    first = of.groupBy("doc_id").agg(F.min("rep").alias("a"))
+    links = C.written(of.join(first, "doc_id").select("a", F.col("rep").alias("b")).where("a <> b"), spark)
     buckets = bands(reps)
     full = buckets.groupBy("key").agg(F.min("rep").alias("leader"), F.count("*").alias("c")).where("c > 1").select("key", "leader")
     multi = C.written(buckets.join(full, "key"), spark)
-    # The texts that any later step may need: those of classes that share a bucket.
-    at = C.written(at.join(multi.select(F.col("rep").alias("_id")).distinct(), at["doc_id"] == F.col("_id"), "left_semi"), spark)
-    C.release(spark)
-    links = C.written(verified(_leaders(multi, reps, percent, least), at, k, percent), spark)
-    comps = C.components(links, spark)
-    C.release(spark)
+    # The sets that any later step may need: those of classes that share a bucket.
+    sets = C.written(class_sets(at, classes.select("rep", "low", *keys).join(multi.select("rep").distinct(), "rep", "left_semi"), k), spark)
+    parts = [links, C.written(verified(_leaders(multi, reps, percent, least), sets, percent), spark)]
+    comps = C.components(parts[0].union(parts[1]), spark)
     rounds, best = 0, True
     while True:
         tasks = C.written(_across(multi, reps, comps, percent, least, best), spark)
-        C.release(spark)
         if best:
             pairs = tasks.select(F.explode(F.arrays_zip("a", "b")).alias("p")).select(F.least("p.a", "p.b").alias("a"), F.greatest("p.a", "p.b").alias("b")).distinct()
-            more = verified(pairs, at, k, percent)
+            more = verified(pairs, sets, percent)
         else:
-            more = verified_blocks(tasks.select(F.monotonically_increasing_id().alias("task"), "a", "b"), at, k, percent)
-        more = C.written(more, spark)
+            more = verified_blocks(tasks.select(F.monotonically_increasing_id().alias("task"), "a", "b"), sets, percent)
+        parts.append(C.written(more, spark))
         C.discard(tasks)
-        C.release(spark)
-        found = not more.isEmpty()
+        found = not parts[-1].isEmpty()
         if found:
-            links = links.union(more)
+            C.discard(comps)
+            links = parts[0]
+            for x in parts[1:]:
+                links = links.union(x)
             comps = C.components(links, spark)
         if not best:
             break
         rounds += 1
         best = found and rounds < BEST_ROUNDS
-    C.discard(multi, at)
-    rep = feat.select("doc_id", "n", "k1", "k2").join(classes.select("k1", "k2", F.col("n").alias("_n"), "rep"), ["k1", "k2"], "left").where("_n is null or n = _n")
-    out = rep.join(comps.withColumnRenamed("node", "rep"), "rep", "left")
-    component = F.when(F.col("doc_id").isNull(), None).otherwise(F.coalesce("component", "rep", "doc_id"))
+    C.discard(multi, sets, *parts)
+    # From numbers back to documents: the smallest document of all classes of a component.
+    own = classes.select(*keys, "rep", "low").join(comps.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    least_of = own.groupBy("component").agg(F.min("low").alias("least"))
+    final = C.written(own.join(least_of, "component").select(*[F.col(x).alias("_" + x) for x in keys], "least"), spark)
+    rows = C.written(feat.select("doc_id", *keys), spark)
+    C.discard(feat, classes, comps)
+    out = rows.join(final, (F.col("k1") == F.col("_k1")) & (F.col("k2") == F.col("_k2")) & (F.col("n") == F.col("_n")), "left")
+    component = F.when(F.col("doc_id").isNull(), None).otherwise(F.coalesce("least", "doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))

@@ -13,16 +13,19 @@ from fewer positions:
 * Round 2 pairs that rank with the rank of the whole run (the bytes from its first window's start to its
   last window's end). A pair found twice settles all of the run's windows as repeated.
 * Round 3 is for the rest, the edges of repeats: runs whose anchor is found elsewhere in other surroundings. One
-  occurrence of each pair is laid out window by window, and windows are ranked at the full length.
+  occurrence of each pair is laid out position by position, and these are doubled: pairs of the ranks at a
+  position and at an offset from it are sorted, which ranks twice as many bytes, and positions of a rank that is
+  found once are dropped, until the ranks cover the full length (64, 128 and 200 bytes).
 
-Ranks are 64-bit hashes of the bytes (two of them by round 2), which is what equality needs; the order
-of suffixes is never asked for. Texts that are equal as a whole are one text from the start: when there are
-two or more, every window is repeated.
+A rank is a hash of the pair that it names, so it can be told anywhere without looking it up, and sorting only
+finds which ones are found twice; the order of suffixes is never asked for. Texts that are equal as a whole are
+one text from the start: when there are two or more, every window is repeated.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -32,8 +35,9 @@ from pyspark.sql import functions as F
 from polyfold.llm import common as C
 
 ANCHOR = 64
-#: Round 3 works on the surroundings of an anchor's rank in one task up to so many, and by rows above.
-GROUP = 20_000
+#: Round 3 doubles the positions around an anchor's rank within one task up to so many occurrences; above, the rounds
+#: are shuffles of positions, so that no rank is held by one task.
+GROUP = 1000
 
 
 def anchor_runs(data: np.ndarray, offs: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
@@ -44,7 +48,7 @@ def anchor_runs(data: np.ndarray, offs: np.ndarray, length: int) -> tuple[np.nda
         return (empty,) * 4 + (empty.astype(C.U64),) * 2
     s = C.prefix(data)
     n = len(data) - ANCHOR + 1
-    g = C.mix((s[ANCHOR:] - s[:-ANCHOR]) * C.powers(len(s))[1][:n])
+    g = C.window_hash(s, ANCHOR)
     w = length - ANCHOR + 1
     key = (g & C.U64(0xFFFFFFFF00000000)) | np.arange(n, dtype=C.U64)
     # Minima of w keys from each position on, by running minima within blocks of w from both ends.
@@ -104,38 +108,61 @@ def _surroundings(wanted: DataFrame, texts: DataFrame, length: int) -> DataFrame
     return C.arrow_map(both, run, "rank long, k long, tid long, at long, ask boolean, bytes binary")
 
 
-def _windows(t: pa.Table | pa.RecordBatch, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """All windows of the rows' bytes: row, offset in the row, rank (mixed with the anchor's rank)."""
+def offsets(length: int) -> list[int]:
+    """Offsets of the rounds that lead from ranks of ANCHOR bytes to ranks of length bytes."""
+    out, n = [], ANCHOR
+    while n < length:
+        out.append(min(n, length - n))
+        n += out[-1]
+    return out
+
+
+def _starts(t: pa.Table | pa.RecordBatch, length: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """Windows of the rows' bytes, piece by piece: row, offset in the row, place in the piece; and the piece's ranks:
+    for each step those of all places at so many bytes."""
     x = t["bytes"].combine_chunks() if isinstance(t, pa.Table) else t["bytes"]
-    rows, offsets, ranks = [], [], []
-    seed = (t["rank"].combine_chunks() if isinstance(t, pa.Table) else t["rank"]).to_numpy().view(C.U64)
     for i, _, data, offs in C.pieces(x.view(pa.string())):
         n = np.maximum(np.diff(offs) - length + 1, 0)
         row = np.repeat(np.arange(len(n)), n)
         off = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        p = offs[row] + off
-        h = C.span_hash(C.prefix(data), p, p + length)
-        rows.append(row + i)
-        offsets.append(off)
-        ranks.append(C.mix(h ^ C.mix(seed[row + i])))
-    join = lambda x, t: np.concatenate(x) if x else np.zeros(0, t)
-    return join(rows, np.int64), join(offsets, np.int64), join(ranks, C.U64)
+        ranks = [C.window_hash(C.prefix(data), ANCHOR)]
+        for step in offsets(length):
+            r = ranks[-1]
+            ranks.append(C.grams(r, 2) if step == 1 else C.mix(r[: len(r) - step] * C.U64(0x9E3779B97F4A7C15) + r[step:] + C.U64(step)))
+        yield row + i, off, offs[row] + off, ranks
+
+
+def twice(x: np.ndarray) -> np.ndarray:
+    """Which entries are found again: x is sorted and neighbours are compared."""
+    order = np.argsort(x)
+    same = x[order[1:]] == x[order[:-1]]
+    out = np.zeros(len(x), bool)
+    out[order[1:][same]] = True
+    out[order[:-1][same]] = True
+    return out
 
 
 def _edges(around: DataFrame, length: int) -> DataFrame:
-    """Round 3: tid, a, b — for each asked run with a repeated window, from the first such window to the last one's end."""
-    small = around.where(F.col("k") <= GROUP).select("rank", "tid", "at", "ask", "bytes").repartition("rank").sortWithinPartitions("rank")
+    """Round 3: tid, a, b — for each asked run with a repeated window, from the first such window to the last one's end.
+
+    A run's windows all hold its anchor, so the repeated ones overlap.
+    """
+    cols = ["rank", "tid", "at", "ask", "bytes"]
+    small = around.where(F.col("k") <= GROUP).select(*cols).repartition("rank").sortWithinPartitions("rank")
+    rounds = range(len(offsets(length)) + 1)
 
     def in_groups(batches):
         for t in C.runs(batches, ["rank"]):
-            row, off, h = _windows(t, length)
-            order = np.argsort(h)
-            same = h[order][1:] == h[order][:-1]
-            twice = np.zeros(len(h), bool)
-            twice[order[1:][same]] = True
-            twice[order[:-1][same]] = True
+            parts = list(_starts(t, length))
+            row, off = (np.concatenate([p[c] for p in parts]) for c in (0, 1))
+            seed = C.mix(t["rank"].combine_chunks().to_numpy().view(C.U64))[row]
+            left = np.arange(len(row))
+            for k in rounds:
+                # Ranks of this round for the positions that are left; equal ones under other anchors are not meant.
+                rank = np.concatenate([p[3][k][p[2]] for p in parts])[left]
+                left = left[twice(C.mix(rank ^ seed[left]))]
             ask = t["ask"].combine_chunks().to_numpy(zero_copy_only=False)
-            hit = np.flatnonzero(twice & ask[row])
+            hit = left[ask[row[left]]]
             if len(hit):
                 r, at = np.unique(row[hit], return_index=True)
                 last = np.append(at[1:], len(hit)) - 1
@@ -143,14 +170,22 @@ def _edges(around: DataFrame, length: int) -> DataFrame:
                 yield pa.RecordBatch.from_pydict({"tid": t["tid"].combine_chunks().take(pa.array(r)), "a": pa.array(first + off[hit[at]]), "b": pa.array(first + off[hit[last]] + length)})
 
     def by_rows(batch: pa.RecordBatch):
-        row, off, h = _windows(batch, length)
         first, _ = _spans(batch["at"].to_numpy())
-        yield {"h": h.view(np.int64), "tid": batch["tid"].take(pa.array(row)), "at": batch["at"].take(pa.array(row)), "ask": batch["ask"].take(pa.array(row)), "p": first[row] + off}
-
-    large = C.arrow_map(around.where(F.col("k") > GROUP).select("rank", "tid", "at", "ask", "bytes"), by_rows, "h long, tid long, at long, ask boolean, p long")
-    twice = large.groupBy("h").agg(F.count("*").alias("c")).where("c > 1").select("h")
-    large = large.where("ask").join(twice, "h").groupBy("tid", "at").agg(F.min("p").alias("a"), (F.max("p") + length).alias("b")).select("tid", "a", "b")
-    return small.mapInArrow(in_groups, "tid long, a long, b long").union(large)
+        seed = C.mix(batch["rank"].to_numpy().view(C.U64))
+        for row, off, place, ranks in _starts(batch, length):
+            yield {f"r{k}": C.mix(ranks[k][place] ^ seed[row]).view(np.int64) for k in rounds} | {c: batch[c].take(pa.array(row)) for c in ("tid", "at", "ask")} | {"p": first[row] + off}
+
+    out = small.mapInArrow(in_groups, "tid long, a long, b long")
+    if around.where(F.col("k") > GROUP).isEmpty():
+        return out
+    large = C.arrow_map(around.where(F.col("k") > GROUP).select(*cols), by_rows, ", ".join(f"r{k} long" for k in rounds) + ", tid long, at long, ask boolean, p long")
+    for k in rounds:
+        # Counted before the shuffle, so a hot rank costs one row a task.
+        found = large.groupBy(f"r{k}").agg(F.count("*").alias("c")).where("c > 1").select(f"r{k}")
+        before, large = large, C.written(large.join(found, f"r{k}").drop(f"r{k}"), around.sparkSession)
+        C.discard(before)
+    large = large.where("ask").groupBy("tid", "at").agg(F.min("p").alias("a"), (F.max("p") + length).alias("b")).select("tid", "a", "b")
+    return out.union(large)
 
 
 def _cut(spans: DataFrame, texts: DataFrame, with_text: bool) -> DataFrame:
@@ -181,10 +216,11 @@ def repeated_bytes(docs: DataFrame, length: int = 200, with_text: bool = False,
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row; with_text adds kept (the remaining bytes).
 
     Texts are UTF-8 bytes, null is empty. Strings never cross documents; overlapping occurrences count, and all
-    are judged on the input. Texts shorter than length lose nothing. Repeated rows are documents of their own, so
-    they repeat each other; null ids are kept as they are. An empty table gives an empty table.
+    are judged on the input. Texts shorter than length lose nothing; very long ones are judged whole. Repeated rows are
+    documents of their own, so they repeat each other; null ids are kept as they are. An empty table gives an empty
+    table. Other columns, whatever their names, are not read.
     """
-    if length <= ANCHOR or length - ANCHOR >= 0xFFFF or 2 * ANCHOR > length + ANCHOR:
+    if length <= ANCHOR or length - ANCHOR >= 0xFFFF:
         raise ValueError(f"length must be over {ANCHOR}")
     spark = docs.sparkSession
     text = F.coalesce(docs[text_col], F.lit(""))
@@ -193,27 +229,22 @@ def repeated_bytes(docs: DataFrame, length: int = 200, with_text: bool = False,
     long_ones = rows.where(F.octet_length("text") >= length)
     texts = long_ones.groupBy("k1", "k2").agg(F.first("text").alias("text"), (F.count("*") > 1).alias("many"))
     texts = C.written(texts.withColumn("tid", F.monotonically_increasing_id()), spark)
-    C.release(spark)
     anchors = C.written(_anchors(texts.select("tid", "many", "text"), length), spark)
     # Rounds 1 and 2. A hot pair is counted before its shuffle; ranks meet in a window that can spill.
     pairs = anchors.groupBy("rank", "run").agg(F.count("*").alias("c"))
     one = Window.partitionBy("rank")
     ranks = pairs.withColumn("all", F.sum("c").over(one)).withColumn("k", F.count("*").over(one)).withColumn("edge", F.min("c").over(one) == 1).where("all > 1")
     ranks = C.written(ranks.select(F.col("rank").alias("r"), F.col("run").alias("u"), (F.col("c") > 1).alias("settled"), "k", "edge"), spark)
-    C.release(spark)
     found = anchors.join(ranks, (F.col("rank") == F.col("r")) & (F.col("run") == F.col("u"))).where("edge or not many").select("rank", "run", "tid", "many", "at", "settled", "k", "edge")
     found = C.written(found, spark)
     C.discard(anchors, ranks)
-    C.release(spark)
     # Round 3: what is asked, and one occurrence of each settled pair to compare with.
     partners = found.where("edge and settled").dropDuplicates(["rank", "run"]).withColumn("ask", F.lit(False))
     asked = found.where("edge and not settled").withColumn("ask", ~F.col("many"))
     wanted = asked.union(partners).select("rank", "k", "tid", "at", "ask")
     around = C.written(_surroundings(wanted, texts, length), spark)
-    C.release(spark)
     edges = C.written(_edges(around, length), spark)
     C.discard(around)
-    C.release(spark)
     a = F.shiftright("at", 32)
     settled = found.where("settled and not many").select("tid", (a - F.shiftright("at", 16).bitwiseAND(0xFFFF)).alias("a"), (a - F.col("at").bitwiseAND(0xFFFF) + length).alias("b"))
     cut = _cut(settled.union(edges), texts, with_text)
@@ -224,7 +255,6 @@ def repeated_bytes(docs: DataFrame, length: int = 200, with_text: bool = False,
     whole = texts.where("many").select("k1", "k2", F.lit(-1).cast("long").alias("n_removed"), F.lit(1).cast("long").alias("n_spans"), F.sha2(F.lit(b""), 256).alias("kept_sha256"), *([F.lit(b"").alias("kept")] if with_text else []))
     decided = C.written(cut.union(whole), spark)
     C.discard(cut, texts)
-    C.release(spark)
     n = F.octet_length("text").cast("long")
     mine = rows.select("doc_id", "k1", "k2", n.alias("n_bytes"), F.sha2(F.col("text").cast("binary"), 256).alias("sha"), *([F.col("text").cast("binary").alias("text")] if with_text else []))
     out = mine.join(decided, ["k1", "k2"], "left")
