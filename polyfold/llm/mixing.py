@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from polyfold.llm import common as C
+
 SEP_CLASS = "[\\x20\\x09-\\x0D]+"
 
 
@@ -38,26 +40,30 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = (5, 2, 1), max
 def plan_mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), max_rate: float = 3.0, seed: str = "mix-1", id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """How often the mix takes each document.
 
-    Returns every row of docs with a struct column _mix(size, source_size, target, rate, copies). copies is
-    floor(rate) plus one copy if the hash of seed and id, as a fraction of 2**32, is below what is left of
-    the rate. No text or null text: size 0, and the copies still follow its source's rate. An empty table gives
-    an empty table; a source without any words has rate 0. Repeated rows are decided alike, as the hash
-    takes the id only. Reruns agree. Only sources meet in one task; documents are not shuffled unless the
-    table of sources is too large to broadcast, and then adaptive execution splits a hot source.
+    Returns every row of docs with a struct(size, source_size, target, rate, copies) as its last column, named _mix
+    (with more underscores if docs has that name; all columns of docs stay as they are). copies is floor(rate) plus
+    one copy if the hash of seed and id, as a fraction of 2**32, is below what is left of the rate. No text or null
+    text: size 0, and the copies still follow its source's rate; very long texts count whole. An empty table gives
+    an empty table; a source without any words has rate 0. Sources that stop at one level go by rank. Repeated rows
+    are decided alike, as the hash takes the id only (null: the text null). Reruns agree. Only sources meet in one
+    task; documents are not shuffled unless the table of sources is too large to broadcast, and then adaptive
+    execution splits a hot source.
     """
-    sized = docs.withColumn("_size", n_words(text_col))
-    t = source_targets(sized.groupBy(F.col(source_col).alias("source")).agg(F.sum("_size").alias("source_size")), weights, max_rate)
-    t = t.select(F.col("source").alias("_source"), F.struct("source_size", "target").alias("_t"))
-    j = sized.join(t, F.col(source_col).eqNullSafe(F.col("_source")), "left")
-    size, target = F.col("_t.source_size"), F.col("_t.target")
+    n, name, of, out = C.fresh(docs.columns, "_size", "_source", "_of_source", "_mix")
+    sized = docs.withColumn(n, n_words(text_col))
+    t = source_targets(sized.groupBy(F.col(source_col).alias("source")).agg(F.sum(n).alias("source_size")), weights, max_rate)
+    t = t.select(F.col("source").alias(name), F.struct("source_size", "target").alias(of))
+    j = sized.join(t, F.col(source_col).eqNullSafe(F.col(name)), "left")
+    size, target = F.col(of)["source_size"], F.col(of)["target"]
     rate = F.when(size > 0, F.least(target / size, F.lit(max_rate))).otherwise(F.lit(0.0))
     u = F.conv(F.substring(F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col(id_col).cast("string"), F.lit("null")))), 1, 8), 16, 10).cast("double") / F.lit(2.0**32)
     copies = (F.floor(rate) + F.when(u < rate - F.floor(rate), 1).otherwise(0)).cast("long")
-    mixed = F.struct(F.col("_size").alias("size"), size.alias("source_size"), target.alias("target"), rate.alias("rate"), copies.alias("copies"))
-    return j.select(*[j[c] for c in docs.columns if c != "_mix"], mixed.alias("_mix"))
+    mixed = F.struct(F.col(n).alias("size"), size.alias("source_size"), target.alias("target"), rate.alias("rate"), copies.alias("copies"))
+    return j.select(*[j[c] for c in docs.columns], mixed.alias(out))
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: each document as often as plan_mix says, in the columns of docs."""
     p = plan_mix(docs, **options)
-    return p.withColumn("_copy", F.explode(F.array_repeat(F.lit(1), F.col("_mix.copies").cast("int")))).select(*[p[c] for c in docs.columns])
+    (copy,) = C.fresh(p.columns, "_copy")
+    return p.withColumn(copy, F.explode(F.array_repeat(F.lit(1), p[p.columns[-1]]["copies"].cast("int")))).select(*[p[c] for c in docs.columns])

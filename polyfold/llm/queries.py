@@ -46,7 +46,7 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mixing.plan_mix(_table(spark, sf_dir, "documents"))
-    m = F.col("_mix")
+    m = F.col(out.columns[-1])
     return out.select("doc_id", m["size"].alias("size"), m["source_size"].alias("source_size"), m["target"].alias("target"), (m["size"] * m["copies"]).alias("taken"))
 
 
@@ -62,6 +62,33 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_near_dedup, op2_suffix_dedup, op3_token_output, op4_lm_score, op5_decontamination, op6_quality_rules, op7_url_filter, op8_mixing, op9_language_id, op10_quality_classifier)}
 
 
+#: Shingle sets are joined with each other; links are followed in both directions.
+OP1_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS t FROM documents),
+s AS (SELECT doc_id, unnest(CASE WHEN len(t) < 2 THEN t ELSE list_distinct(list_transform(range(1, len(t)), lambda i: t[i] || ' ' || t[i + 1])) END) AS g FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 80 * (x.n + y.n - c)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT a, a AS b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON e.a = r.b),
+m AS (SELECT a, min(b) AS component FROM r GROUP BY a)
+SELECT doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(m.component, doc_id) AS component_id, coalesce(m.component, doc_id) = doc_id AS kept FROM w LEFT JOIN n USING (doc_id) LEFT JOIN m ON m.a = doc_id
+"""
+
+#: All windows of all texts.
+OP2_SQL = r"""
+WITH b AS (SELECT row_number() OVER () AS n, doc_id, encode(coalesce(text, '')) AS x FROM documents),
+w AS (SELECT n, p, array_slice(x, p, p + 199) AS s FROM (SELECT n, x, unnest(range(1, octet_length(x) - 198)) AS p FROM b)),
+h AS (SELECT n, p, coalesce(p > lag(p) OVER (PARTITION BY n ORDER BY p) + 200, true) AS new FROM w WHERE s IN (SELECT s FROM w GROUP BY s HAVING count(*) > 1)),
+g AS (SELECT n, p, sum(CASE WHEN new THEN 1 ELSE 0 END) OVER (PARTITION BY n ORDER BY p) AS k FROM h),
+r AS (SELECT n, k, min(p) AS a, max(p) + 200 AS e FROM g GROUP BY n, k),
+q AS (SELECT n, a, e, coalesce(lag(e) OVER (PARTITION BY n ORDER BY a), 1) AS from_ FROM r),
+c AS (SELECT n, CAST(sum(e - a) AS BIGINT) AS removed, count(*) AS spans, max(e) AS last, string_agg(CASE WHEN a > from_ THEN hex(array_slice(x, from_, a - 1)) ELSE '' END, '' ORDER BY a) AS head FROM q JOIN b USING (n) GROUP BY n)
+SELECT doc_id, octet_length(x) AS n_bytes, coalesce(removed, 0) AS n_removed, coalesce(spans, 0) AS n_spans,
+ sha256(CASE WHEN removed IS NULL THEN x ELSE unhex(head || CASE WHEN last <= octet_length(x) THEN hex(array_slice(x, last, octet_length(x))) ELSE '' END) END) AS kept_sha256
+FROM b LEFT JOIN c USING (n)
+"""
+
 OP8_SQL = r"""
 WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
@@ -121,4 +148,4 @@ SELECT p.page_id, p.host, p.path, own.rule, coalesce(own.v, said.v, 'allow') AS
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_url_filter": OP7_SQL, "op8_mixing": OP8_SQL}
+    return {"op1_near_dedup": OP1_SQL, "op2_suffix_dedup": OP2_SQL, "op7_url_filter": OP7_SQL, "op8_mixing": OP8_SQL}
