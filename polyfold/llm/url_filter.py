@@ -76,27 +76,33 @@ def link_edges(pages: DataFrame, url_col: str = "url", html_col: str = "html") -
 
 
 def judge(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, redirects: DataFrame | None = None, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """page_id, host, path, rule, verdict and alias_of (smallest alias's id, null without aliases) of every row.
+    """page_id, host, path, rule, verdict and alias_of (a number that aliases share, null without aliases) of every row.
 
     redirects adds edges (src, dst) to those found in the pages. A url's own rule decides it. Else an allowed
     alias makes it allow, a blocked alias block, and it is allow otherwise. Null urls and urls without :// have
-    empty host and path, no rule and no aliases: allow. Repeated rows are judged alike.
+    empty host and path, no rule and no aliases: allow. Null or empty html has no links; very long html is searched
+    whole. Of rules of one length the last by name wins. Repeated rows are judged alike. An empty table gives an empty table.
+    Other columns are not read. Urls are numbered, not hashed, so no two share a node.
     """
     spark = pages.sparkSession
     host, path = host_path(pages[url_col])
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
     own = pages.select(pages[id_col].alias("page_id"), pages[url_col].alias("url"), host.alias("host"), path.alias("path")).withColumn("rule", rule).withColumn("own", verdict)
-    own = own.withColumn("node", F.when(F.instr("url", "://") > 0, F.xxhash64(node_key(F.col("url")))))
+    own = own.withColumn("key", F.when(F.instr("url", "://") > 0, node_key(F.col("url"))))
     edges = link_edges(pages, url_col, html_col)
     if redirects is not None:
         edges = edges.union(redirects.select("src", "dst").where("instr(src, '://') > 0 and instr(dst, '://') > 0"))
-    edges = C.written(edges.select("src", "dst", F.xxhash64(node_key(F.col("src"))).alias("a"), F.xxhash64(node_key(F.col("dst"))).alias("b")).where("a <> b").distinct(), spark)
-    comps = C.components(edges.select("a", "b"), spark)
-    # Explicit decisions on any url of a component, pages or mere targets.
-    ends = edges.select(F.explode(F.array(F.struct(F.col("a").alias("node"), F.col("src").alias("url")), F.struct(F.col("b").alias("node"), F.col("dst").alias("url")))).alias("x")).select("x.*")
+    edges = edges.select("src", "dst", node_key(F.col("src")).alias("a"), node_key(F.col("dst")).alias("b"))
+    edges = C.written(edges.where("a <> b").distinct(), spark)
+    # Explicit decisions on any url of a component, pages or mere targets: allow sorts before block.
+    ends = edges.select(F.explode(F.array(F.struct(F.col("a").alias("key"), F.col("src").alias("url")), F.struct(F.col("b").alias("key"), F.col("dst").alias("url")))).alias("x")).select("x.*")
     h, p = host_path(F.col("url"))
     ends = ends.withColumn("host", h).withColumn("path", p).withColumn("own", rule_of(F.col("host"), F.col("path"), rules)[1])
-    said = ends.join(comps, "node").groupBy("component").agg(F.min("own").alias("said"))  # allow sorts before block
-    alias = comps.join(said, "component").select("node", F.col("component").alias("alias_of"), "said")
-    out = own.join(alias, "node", "left")
+    nodes = C.written(ends.groupBy("key").agg(F.min("own").alias("own")).withColumn("node", F.monotonically_increasing_id()), spark)
+    number = lambda c: nodes.select(F.col("key").alias(c), F.col("node").alias("n" + c))
+    comps = C.components(edges.join(number("a"), "a").join(number("b"), "b").select(F.col("na").alias("a"), F.col("nb").alias("b")), spark)
+    placed = nodes.join(comps, "node")
+    said = placed.groupBy("component").agg(F.min("own").alias("said"))
+    alias = placed.join(said, "component").select("key", F.col("component").alias("alias_of"), "said")
+    out = own.join(alias, "key", "left")
     return out.select("page_id", "host", "path", "rule", F.coalesce("own", "said", F.lit("allow")).alias("verdict"), "alias_of")
