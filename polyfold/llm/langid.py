@@ -6,13 +6,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from polyfold.llm import common as C
 
 BUCKETS = 4096
-#: At most so many rows are trained on: those with the smallest hashes of their ids.
+#: At most so many rows are trained on, shared evenly among the languages: those with the smallest hashes of their ids.
 SAMPLE_ROWS = 2400
 #: Letters fold to lower case, all else in ASCII to a space, so subwords run within words.
 _FOLD = np.full(256, 32, np.uint32)
@@ -114,28 +114,44 @@ def train(counts: np.ndarray, langs: list[str], dim: int = 16, epochs: int = 30,
     return model
 
 
-def identify(docs: DataFrame, fold: int = 4, held: int = 2, sample_rows: int = SAMPLE_ROWS, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """doc_id, held_out, lang_pred, score and rejected of every row.
-
-    Learns from at most sample_rows rows with text and lang outside the held-out fold. A null text, one
-    without a letter, and any text when there is nothing to learn from are und with score 0. rejected marks
-    scores below the calibrated threshold; the prediction stays. Repeated rows give repeated rows.
-    """
-    at = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"), docs[lang_col].cast("string").alias("lang"))
-    train_rows = at.where((C.crc_fold("doc_id", fold) != held) & F.col("text").isNotNull() & F.col("lang").isNotNull())
-    # The sample is bounded by sample_rows: its threshold is the hash of the last id taken.
-    ids = train_rows.select(F.xxhash64(F.lit("langid"), "doc_id").alias("h")).orderBy("h").limit(sample_rows).agg(F.max("h")).first()[0]
-    sample = train_rows.where(F.xxhash64(F.lit("langid"), "doc_id") <= F.lit(ids if ids is not None else 0))
+def learn(docs: DataFrame, fold: int = 4, held: int = 2, sample_rows: int = SAMPLE_ROWS) -> Model | None:
+    """The model for rows of doc_id, text and lang; None without any to learn from."""
+    train_rows = docs.where((C.crc_fold("doc_id", fold) != held) & F.col("text").isNotNull() & F.col("lang").isNotNull())
+    train_rows = train_rows.withColumn("h", F.xxhash64(F.lit("langid"), "doc_id"))
+    # Languages get even shares, and what a rare one leaves goes to the others. One row a language reaches the driver.
+    known = sorted((r["n"], r["lang"], r["low"]) for r in train_rows.groupBy("lang").agg(F.count("*").alias("n"), F.min("h").alias("low")).collect())
+    room, picked, most = sample_rows, F.lit(False), F.lit(0)
+    for i, (n, lang, low) in enumerate(known):
+        share = min(n, max(1, room // (len(known) - i)))
+        room -= share
+        # Hashes are even, so those below this are the share and a little more.
+        upto = max(low, min(2**63 - 1, -(2**63) + int(2**64 * min(1, (share + 4 * share**0.5 + 20) / n))))
+        mine = F.col("lang") == F.lit(lang)
+        picked, most = picked | (mine & (F.col("h") <= F.lit(upto))), F.when(mine, F.lit(share)).otherwise(most)
 
     def counted(batch: pa.RecordBatch):
         for i, j, data, offs in C.pieces(batch.column(1), rows=512):
             counts = subword_counts(data, offs).astype(np.int32)
-            yield {"doc_id": batch.column(0).slice(i, j - i), "lang": batch.column(2).slice(i, j - i), "counts": pa.array([c.tobytes() for c in counts], pa.binary())}
+            yield {"h": batch.column(0).slice(i, j - i), "lang": batch.column(2).slice(i, j - i), "counts": pa.array([c.tobytes() for c in counts], pa.binary())}
 
-    got = C.arrow_map(sample, counted, "doc_id long, lang string, counts binary").orderBy("doc_id", "lang", "counts").limit(sample_rows).toArrow()
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("h", "counts"))
+    got = C.arrow_map(train_rows.where(picked).select("h", "text", "lang"), counted, "h long, lang string, counts binary").withColumn("i", rank).where(F.col("i") <= most).orderBy("h", "lang", "counts").select("lang", "counts").toArrow()
     counts = np.frombuffer(b"".join(x.as_py() for x in got["counts"]), np.int32).reshape(-1, BUCKETS)
-    model = train(counts, got["lang"].to_pylist()) if len(counts) else None
-    del counts, got
+    return train(counts, got["lang"].to_pylist()) if len(counts) else None
+
+
+def identify(docs: DataFrame, fold: int = 4, held: int = 2, sample_rows: int = SAMPLE_ROWS, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """doc_id, held_out, lang_pred, score and rejected of every row.
+
+    Learns from at most sample_rows rows with text and lang outside the held-out fold, as many of each language as
+    there are, or else an even share (at least one row, so every language is learned). A null text, one
+    without a letter, and any text when there is nothing to learn from are und with score 0. rejected marks
+    scores below the calibrated threshold; the prediction stays. Ties go to the language that sorts first. Very long texts count
+    whole. Repeated rows give repeated rows, and a null id is the empty text in folds. An empty table gives an
+    empty table. Other columns are not read.
+    """
+    at = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"), docs[lang_col].cast("string").alias("lang"))
+    model = learn(at, fold, held, sample_rows)
 
     def run(batch: pa.RecordBatch):
         for i, j, data, offs in C.pieces(batch.column(1), rows=512):

@@ -122,16 +122,23 @@ def labelled_sample(stats: DataFrame, labels: DataFrame, limit: int = SAMPLE_ROW
     return x, (rows["y"].to_numpy() > 0).astype(float)
 
 
+def learn_rules(stats: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, label_col: str = "quality") -> Trees:
+    """The trees for documents' statistics; without labels they are a constant."""
+    x, y = labelled_sample(stats, labels, sample_rows, label_col=label_col)
+    return fit_trees(x, y, np.array([FALLING.get(f, 0) for f in S.FEATURES]))
+
+
 def apply_rules(docs: DataFrame, labels: DataFrame, keep_at: float = 0.5, sample_rows: int = SAMPLE_ROWS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:
     """doc_id, the statistics of stats.SCHEMA without features, score and verdict (score >= keep_at) of every row.
 
-    Null or empty texts have zero statistics and are scored like any other. Repeated ids give repeated
-    rows. Without labels every score is the constant 0.5. Only sample_rows labelled rows reach the driver.
+    Null or empty texts have zero statistics and are scored like any other; very long ones count whole. Repeated ids
+    give repeated rows; of several labels of one id the largest counts, and labels without an id or a value don't. A score
+    of exactly keep_at keeps. Without labels every score is the constant 0.5. An empty table gives an empty table.
+    Only sample_rows labelled rows reach the driver. Other columns are not read.
     """
     spark = docs.sparkSession
     stats = C.written(S.with_stats(docs, id_col, text_col), spark)
-    x, y = labelled_sample(stats, labels, sample_rows, label_col=label_col)
-    trees = fit_trees(x, y, np.array([FALLING.get(f, 0) for f in S.FEATURES]))
+    trees = learn_rules(stats, labels, sample_rows, label_col)
     names = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
     def run(batch: pa.RecordBatch):
