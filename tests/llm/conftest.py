@@ -23,7 +23,7 @@ SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 def odd(spark):
     """The rows, with extra columns named like the operators' own."""
     d = spark.createDataFrame(ROWS, SCHEMA)
-    for c in ("score", "rep", "key", "tid", "k1", "n", "rank", "run", "_id", "kept", "size", "features", "node", "component", "chunk"):
+    for c in ("score", "rep", "key", "tid", "k1", "n", "rank", "run", "_id", "kept", "size", "features", "node", "component", "chunk", "_size", "_source", "_of_source", "_mix", "_t", "_copy", "_out", "_row", "_gone", "h", "words", "a", "b", "low", "least", "row"):
         d = d.selectExpr("*", f"'extra' as {c}")
     return d.cache()
 

@@ -89,6 +89,15 @@ def test_near_duplicates_in_a_hot_group(spark):
         near_dedup.BLOCK = old
 
 
+def test_rows_that_repeat_an_id(spark):
+    """An id's rows are one document: its texts link what they are near to, and an empty one links nothing."""
+    x, y = ("one two three four five six seven eight nine ten", "red green blue white black grey pink gold brown cyan")
+    rows = [(3, x), (5, x), (5, y), (7, y), (8, y + " more"), (9, x.upper()), (11, "alone here"), (11, "alone there"), (None, y), (12, None), (12, None)]
+    got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), k=2)
+    assert dedup_rows(got) == linked(rows, 2)
+    assert {r["component_id"] for r in got.where("doc_id in (3, 5, 7, 8, 9)").collect()} == {3} and got.where("kept and doc_id in (5, 7, 8, 9)").count() == 0
+
+
 def test_bayesian_bounds():
     least = near_dedup.least_matches(0.8, 1e-6)
     assert list(least) == sorted(least) and all(m < n for m, n in zip(least, range(32, 129, 32)))
@@ -348,7 +357,7 @@ def test_decontamination_is_brute_forces(spark, odd, none):
     rng = random.Random(3)
     vocabulary = [f"w{i}" for i in range(40)]
     items = [(i, " ".join(rng.choice(vocabulary) for _ in range(rng.randint(5, 40)))) for i in range(12)] + [(50, None), (51, ""), (52, "too short"), (None, "no id for this item here")]
-    rows = odd_rows(odd)
+    rows = odd_rows(odd) + [(70, "is this Too\nshort perhaps"), (None, "there is no id for this item here, nor for the text"), (71, "no id for that item here")]
     for i in range(80):
         w = [rng.choice(vocabulary) for _ in range(rng.randrange(60))]
         part = items[rng.randrange(12)][1].split()
@@ -362,20 +371,22 @@ def test_decontamination_is_brute_forces(spark, odd, none):
     for i, t in rows:
         for k, x in items:
             w = words(x)
-            if k is not None and len(w) >= 5 and (e := edit_search(w, words(t))) <= int(len(w) * 0.2):
+            if w and (e := edit_search(w, words(t))) <= int(len(w) * 0.2):
                 want.add((i, k, e))
     got = {(r["doc_id"], r["item_id"], r["distance"]) for r in decontam.contamination(d, b).collect()}
     assert got == want and any(e > 0 for _, _, e in want) and len(want) > 20
     judged = decontam.judge(d, b).collect()
-    assert len(judged) == len(rows) and {(r["doc_id"], k) for r in judged for k in r["items"]} == {(i, k) for i, k, _ in want}
+    assert len(judged) == len(rows) and {(r["doc_id"], k) for r in judged for k in r["items"]} == {(i, k) for i, k, _ in want if k is not None}
+    assert {r["doc_id"] for r in judged if r["contaminated"]} == {i for i, _, _ in want} > {None}
     assert decontam.judge(none, b).count() == 0 and decontam.judge(odd, b.where("false")).where("contaminated").count() == 0
 
 
-def test_blocks_of_items(spark, monkeypatch):
-    monkeypatch.setattr(decontam, "BLOCK_BYTES", 30)
-    items = spark.createDataFrame([(i, f"alpha beta gamma delta item{i}") for i in range(5)], "item_id long, text string")
-    d = spark.createDataFrame([(7, "x alpha beta gamma delta item3 y")], "doc_id long, text string")
-    assert {r["item_id"] for r in decontam.contamination(d, items).collect() if r["distance"] == 0} == {3}
+def test_pieces_that_items_share(spark):
+    items = spark.createDataFrame([(i, f"alpha beta gamma delta item{i}") for i in range(50)], "item_id long, text string")
+    d = spark.createDataFrame([(7, "x alpha beta gamma delta item3 y"), (8, "alpha beta gamma " * 400), (9, "")], "doc_id long, text string")
+    got = decontam.contamination(d, items).collect()
+    assert {r["item_id"] for r in got if r["distance"] == 0} == {3} and len(got) == 50 and {r["doc_id"] for r in got} == {7}
+    assert decontam.contamination(d, items, share=0.0).count() == 1
 
 
 # Statistics and rules
@@ -511,7 +522,7 @@ def test_forms_of_links(spark):
 
 # Mixing
 def test_mixing(odd, none, docs):
-    got = mixing.plan_mix(odd).select("doc_id", "text", "source", "_mix.*").collect()
+    got = mixing.plan_mix(odd).select("doc_id", "text", "source", "__mix.*").collect()
     sizes = Counter()
     for r in got:
         assert r["size"] == len(words(r["text"])) and 0 <= r["copies"] <= 3
@@ -531,6 +542,7 @@ def test_mixing(odd, none, docs):
         rest = left
     assert all(math.isclose(r["target"], share[r["source"]], rel_tol=1e-9) for r in got)
     assert mixing.plan_mix(none).count() == 0 and mixing.mix(odd).columns == odd.columns
+    assert mixing.mix(odd).where("_size <> 'extra' or _mix <> 'extra' or _copy <> 'extra' or _source <> 'extra'").count() == 0
     assert mixing.mix(odd).count() == sum(r["copies"] for r in got) and mixing.mix(docs).exceptAll(mixing.mix(docs)).count() == 0
 
 
@@ -589,7 +601,8 @@ def test_pipeline_takes_odd_rows(spark, odd, tmp_path):
         spark.read.parquet(f"{SF}/{t}.parquet").write.parquet(str(tmp_path / f"{t}.parquet"))
     assert p.run(spark, str(tmp_path)).columns == ["doc_id", "start", "n_tokens", "ids_crc32"]
     for _, stage in p.STAGES[:-1]:
-        assert stage(spark, odd, str(tmp_path)).columns == odd.columns
+        got = stage(spark, odd, str(tmp_path))
+        assert got.columns == odd.columns and got.where("_row <> 'extra' or _gone <> 'extra' or _mix <> 'extra'").count() == 0
         assert stage(spark, odd.where("false"), str(tmp_path)).count() == 0
 
 
