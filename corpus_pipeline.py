@@ -13,26 +13,30 @@ from polyfold.llm import common as C
 from polyfold.llm import decontam, mixing, near_dedup, quality_classifier, token_output
 
 
-#: Column that numbers the rows within a stage: ids may be null or repeated.
-ROW = "_polyfold_row"
+def _keyed(docs: DataFrame) -> tuple[DataFrame, str]:
+    """docs with a number of its own for each row, written once so that it stays the same, and that column's name.
 
-
-def _keyed(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """docs with a number of its own in ROW for each row, written once so that it stays the same."""
-    return C.written(docs.withColumn(ROW, F.monotonically_increasing_id()), spark)
+    Ids may be null or repeated, so stages decide on rows.
+    """
+    (row,) = C.fresh(docs.columns, "_row")
+    return C.written(docs.withColumn(row, F.monotonically_increasing_id()), docs.sparkSession), row
 
 
-def _without(rows: DataFrame, out: DataFrame) -> DataFrame:
-    """The documents of rows whose numbers are not in out's doc_id."""
-    gone = out.select(F.col("doc_id").alias("_out")).distinct()
-    return rows.join(gone, rows[ROW] == gone["_out"], "left_anti").drop(ROW)
+def _without(rows: DataFrame, row: str, out: DataFrame) -> DataFrame:
+    """The documents of rows whose numbers are not in out (one column)."""
+    (gone,) = C.fresh(rows.columns, "_gone")
+    out = out.toDF(gone).distinct()
+    return rows.join(out, F.col(row) == F.col(gone), "left_anti").drop(row)
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops the rows that the quality classifier rejects; it learns from the labels of the documents given."""
-    rows = _keyed(spark, docs)
-    scores = quality_classifier.classify(rows, spark.read.parquet(f"{sf_dir}/labels.parquet"), row_col=ROW)
-    return _without(rows, scores.where("predicted = 0").select(F.col(ROW).alias("doc_id")))
+    """Drops the rows that the quality classifier rejects; it learns from the labels of the documents given.
+
+    Rows of null ids, null or empty texts and repeated rows are scored like any other, each for itself.
+    """
+    rows, row = _keyed(docs)
+    scores = quality_classifier.classify(rows, spark.read.parquet(f"{sf_dir}/labels.parquet"), row_col=row)
+    return _without(rows, row, scores.where("predicted = 0").select(row))
 
 
 def deduplicated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,18 +44,18 @@ def deduplicated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
     Null ids come last, and of rows that repeat an id the first one stays. Rows without words are in no group.
     """
-    rows = _keyed(spark, docs)
-    found = near_dedup.near_duplicates(rows, k=5, percent=80, id_col=ROW).select(F.col("doc_id").alias(ROW), F.col("component_id").alias("_group"))
-    ids = rows.select(ROW, F.struct(F.col("doc_id").isNull().alias("a"), F.col("doc_id").alias("b"), F.col(ROW).alias("c")).alias("_rank"))
-    ranked = C.written(found.join(ids, ROW), spark)
-    kept = ranked.groupBy("_group").agg(F.min("_rank").alias("m")).select(F.col("m.c").alias(ROW))
-    return _without(rows, ranked.join(kept, ROW, "left_anti").select(F.col(ROW).alias("doc_id")))
+    rows, row = _keyed(docs)
+    found = near_dedup.near_duplicates(rows, k=5, percent=80, id_col=row).select(F.col("doc_id").alias("r"), F.col("component_id").alias("g"))
+    ids = rows.select(F.col(row).alias("r"), F.struct(F.col("doc_id").isNull().alias("a"), F.col("doc_id").alias("b"), F.col(row).alias("c")).alias("rank"))
+    ranked = C.written(found.join(ids, "r"), spark)
+    kept = ranked.groupBy("g").agg(F.min("rank").alias("m")).select(F.col("m.c").alias("r"))
+    return _without(rows, row, ranked.join(kept, "r", "left_anti").select("r"))
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the rows in which a benchmark item is found within its error budget."""
-    rows = _keyed(spark, docs)
-    return _without(rows, decontam.contamination(rows, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), id_col=ROW))
+    rows, row = _keyed(docs)
+    return _without(rows, row, decontam.contamination(rows, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), id_col=row).select("doc_id"))
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -79,5 +83,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents; each stage's rows are written and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES[:-1]:
-        docs = C.written(stage(spark, docs, sf_dir), spark)
+        before, docs = docs, C.finished(lambda docs=docs, stage=stage: stage(spark, docs, sf_dir), spark)
+        C.discard(before)
     return STAGES[-1][1](spark, docs, sf_dir)
