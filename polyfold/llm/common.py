@@ -22,7 +22,7 @@ U64 = np.uint64
 #: Rows that reach Python at once where texts do.
 ROWS_PER_BATCH = 2000
 #: Bytes of text handled at once; a longer document is a piece of its own.
-PIECE_BYTES = 2 << 20
+PIECE_BYTES = 1 << 20
 #: Span hashes are polynomials modulo the Mersenne prime 2**31 - 1, at two random points (LANES): modulo a power of two
 #: any odd point makes some pairs of strings collide (Thue-Morse words).
 PRIME, LANES = U64(2**31 - 1), 2
@@ -31,7 +31,7 @@ CACHED = 1 << 13
 _rng = np.random.default_rng(20240607)
 BYTE_CODE = _rng.integers(1, 2**31 - 1, (LANES, 256), dtype=np.uint64)
 POINT = [int(x) for x in _rng.integers(2**20, 2**31 - 1, LANES)]
-_POW = _INV = np.ones((LANES, 1), U64)
+_POW = _INV = np.ones((LANES, 1), np.uint32)
 #: Separators of words: space and bytes 9 to 13.
 IS_SEP = np.zeros(256, bool)
 IS_SEP[[32, 9, 10, 11, 12, 13]] = True
@@ -60,7 +60,7 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
                     step = U64(pow(point, sign * m, int(PRIME)))
                     x[k, m : 2 * m] = _fold(_fold(x[k, : min(m, n - m)] * step))
                     m *= 2
-            globals()[name] = x
+            globals()[name] = x.astype(np.uint32)
     return _POW, _INV
 
 
