@@ -37,7 +37,7 @@ from polyfold.llm import common as C
 ANCHOR = 64
 #: Round 3 doubles the positions around an anchor's rank within one task up to so many occurrences; above, the rounds
 #: are shuffles of positions, so that no rank is held by one task.
-GROUP = 1000
+GROUP = 20_000
 
 
 def anchor_runs(data: np.ndarray, offs: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
