@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from polyfold.llm import common as C
 
 #: Bytes of text whose words share a vocabulary list.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 8 << 20
 #: Bytes of text whose runs a group of subtrees holds on average.
 GROUP_BYTES = 2 << 20
 
@@ -291,7 +291,7 @@ def packed(docs: DataFrame) -> DataFrame:
                 low = C.LOWER[data]
                 starts, ends, first = C.words(low, offs)
                 train = batch.column(2).slice(i, j - i).to_numpy(zero_copy_only=False)
-                h = C.span_hash(C.prefix(low), starts, ends)
+                h = C.string_hash(low, starts, ends)
                 vocab, at = np.unique(h, return_inverse=True)
                 counts = np.bincount(at, weights=np.repeat(train, np.diff(first)), minlength=len(vocab)).astype(np.int64)
                 tri, tri_n = np.unique(triples(data, offs)[np.repeat(train, np.diff(offs))], return_counts=True)
@@ -388,7 +388,38 @@ def score_documents(docs: DataFrame, fold: int = 5, held: int = 1, id_col: str =
     trained, size = chunks.agg(F.coalesce(F.sum("trained"), F.lit(0)), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
     n_all, v_all = sums[0] + trained, sums[1] + (trained > 0)
     norm = n_all + 0.5 * (v_all + 1)
-    back = listed.select("chunk", "k", "i").join(totals, "k").select("chunk", "i", "total", F.lit(None).cast("long").alias("group"), F.lit(None).cast("binary").alias("logs"))
+    back = listed.select("chunk", "k", "i").join(totals, "k").select("chunk", "i", "total")
+
+    def known(left: pa.Table, right: pa.Table) -> pa.Table:
+        """left: one chunk; right: totals of its words, by their places in its list."""
+        if not left.num_rows:
+            return want_words.empty_table()
+        x = {c: left[c][0] for c in left.column_names}
+        words = []
+        for _, _, data, o in C.pieces(_texts(x["text"], np.array(x["bytes"].as_py(), np.int64))):
+            low = C.LOWER[data]
+            starts, ends, at = C.words(low, o)
+            words.append((*_ranked(C.string_hash(low, starts, ends)), at))
+        vocab = _union([u for u, _, _ in words])  # as packed() made it
+        counts = np.zeros(len(vocab), np.int64)
+        counts[right["i"].to_numpy()] = right["total"].to_numpy()
+        end = np.log10((trained + 0.5) / norm)
+        logs, seen, n, base, hits = np.log10((counts + 0.5) / norm), counts > 0, [], [], []
+        for u, at, o in words:
+            place = np.searchsorted(vocab, u)
+            n.append(np.diff(o) + 1)
+            base.append(_sums(logs[place][at], o) + end)
+            hits.append(_sums(seen[place][at], o).astype(np.int64) + (trained > 0))
+        return pa.table({"chunk": [x["chunk"].as_py()], **{c: [np.concatenate(y).tolist()] for c, y in (("n", n), ("known", hits), ("base", base))}}, schema=want_words)
+
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import _parse_datatype_string
+
+    schema = "chunk long, n array<long>, known array<long>, base array<double>"
+    want_words = to_arrow_schema(_parse_datatype_string(schema))
+    back = C.written(chunks.select("chunk", "bytes", "text").groupBy("chunk").cogroup(back.groupBy("chunk")).applyInArrow(known, schema), spark)
+    C.discard(totals)
+    back = back.select("*", F.lit(None).cast("long").alias("group"), F.lit(None).cast("binary").alias("logs"))
     # Bytes: at most 2**24 triples and as many bit nodes reach the driver.
     tri = _unpack("tri", "tri_n", np.int32, "chunk long, k int, i int, c long")(chunks).groupBy("k").agg(F.sum("c").alias("c")).toArrow()
     groups = -(-size // GROUP_BYTES) if depth > 2 else 0
@@ -421,45 +452,28 @@ def score_documents(docs: DataFrame, fold: int = 5, held: int = 1, id_col: str =
         back = back.unionByName(got, allowMissingColumns=True)
 
     def scored(left: pa.Table, right: pa.Table) -> pa.Table:
-        """left: one chunk; right: totals of its words, by their places in its list, and logs of its runs by groups."""
+        """left: one chunk; right: what known() gave of it, and logs of its runs by groups."""
         if not left.num_rows:
             return want.empty_table()
         x = {c: left[c][0] for c in left.column_names}
         size = np.array(x["bytes"].as_py(), np.int64)
-        # The chunk's lists of distinct words and runs, as packed() and _dealt() made them.
-        words, runs, first = [], [], []
+        runs, first = [], []
         for _, _, data, o in C.pieces(_texts(x["text"], size)):
-            low = C.LOWER[data]
-            starts, ends, at = C.words(low, o)
-            words.append((*_ranked(C.span_hash(C.prefix(low), starts, ends)), at))
             if groups:
                 runs.append((*_ranked(runs_of(data, o, depth)), o))
             else:
                 first.append(sent.value.score(data, o))
-        vocab = _union([u for u, _, _ in words])
-        known = right.filter(pc.is_valid(right["i"]))
-        counts = np.zeros(len(vocab), np.int64)
-        counts[known["i"].to_numpy()] = known["total"].to_numpy()
-        end = np.log10((trained + 0.5) / norm)
-        logs, seen, n, base, hits = np.log10((counts + 0.5) / norm), counts > 0, [], [], []
-        for u, at, o in words:
-            place = np.searchsorted(vocab, u)
-            n.append(np.diff(o) + 1)
-            base.append(_sums(logs[place][at], o) + end)
-            hits.append(_sums(seen[place][at], o).astype(np.int64) + (trained > 0))
         if groups:
-            keys = _union([u for u, _, _ in runs])
+            keys = _union([u for u, _, _ in runs])  # as _dealt() made it
             deep = right.filter(pc.is_valid(right["group"])).sort_by("group")
             logs = np.empty(len(keys))
             logs[np.argsort(group_of(keys, depth, groups), kind="stable")] = np.concatenate([_whole(b, np.float32) for b in deep["logs"]]) if deep.num_rows else 0.0
             while runs:
                 u, at, o = runs.pop(0)
                 first.append(_sums(logs[np.searchsorted(keys, u)][at], o))
-        cat = lambda x: pa.array(np.concatenate(x))
-        return pa.table([pa.array(x["doc_ids"].as_py(), pa.int64()), cat(n), cat(hits), cat(base), cat(first), pa.array(size)], schema=want)
-
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import _parse_datatype_string
+        words = right.filter(pc.is_valid(right["n"]))
+        n, hits, base = (words[c][0].values for c in ("n", "known", "base"))
+        return pa.table([pa.array(x["doc_ids"].as_py(), pa.int64()), n, hits, base, pa.array(np.concatenate(first)), pa.array(size)], schema=want)
 
     schema = "doc_id long, n_tokens long, n_known long, base_score double, score double, bytes long"
     want = to_arrow_schema(_parse_datatype_string(schema))

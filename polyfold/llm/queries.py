@@ -27,7 +27,7 @@ def op3_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lm_score.score_documents(_table(spark, sf_dir, "documents"), depth=5)
+    return lm_score.score_documents(_table(spark, sf_dir, "documents"), depth=4)
 
 
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
