@@ -7,6 +7,7 @@ documents at a time, without building Python strings. Nulls count as empty texts
 from __future__ import annotations
 
 import atexit
+import hashlib
 import tempfile
 import threading
 import uuid
@@ -122,6 +123,39 @@ def window_hash(s: np.ndarray, n: int) -> np.ndarray:
     return _hashed(max(s.shape[1] - n, 0), lambda k, at: (s[k, at.start + n : at.stop + n] - s[k, at], inverse[k, at]))
 
 
+#: The lowest bytes of a number, by how many.
+_LOWEST = np.array([(1 << 8 * n) - 1 for n in range(9)], U64)
+#: Strings longer than this are hashed one by one.
+LONG = 1024
+
+
+def string_hash(data: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the strings from a to b, for short ones such as words: eight bytes a step, mixed in one after another.
+
+    Every step is a bijection of the bytes that it takes, and lengths count, so strings of up to eight bytes only
+    collide across lengths, by chance.
+    """
+    at = np.ndarray((len(data) + 1,), "<u8", np.concatenate([data, np.zeros(8, np.uint8)]), 0, (1,))
+    left = b - a
+    out = left.astype(U64) * U64(0x9E3779B97F4A7C15)
+    todo, pos = None, a
+    while len(pos):
+        x = at[pos]
+        x &= _LOWEST.take(np.minimum(left, 8))
+        if todo is None:
+            x += out
+            out = mix(x)
+        else:
+            x += out[todo] * U64(0xD6E8FEB86659FD93)
+            out[todo] = mix(x)
+        more = np.flatnonzero((left > 8) & (left <= LONG))
+        todo = more if todo is None else todo[more]
+        pos, left = pos[more] + 8, left[more] - 8
+    for i in np.flatnonzero(b - a > LONG).tolist():
+        out[i] = int.from_bytes(hashlib.blake2b(data[a[i] : b[i]], digest_size=8).digest(), "little")
+    return out
+
+
 def pieces(texts: pa.Array, limit: int = PIECE_BYTES, rows: int = 1 << 14) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Runs of rows with their bytes and offsets: (first row, end row, bytes, offsets)."""
     if isinstance(texts, pa.ChunkedArray):

@@ -37,7 +37,7 @@ def word_hashes(text: str) -> np.ndarray:
     """Hashes of a text's words in lower case (A-Z)."""
     data = C.LOWER[np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)]
     starts, ends, _ = C.words(data, np.array([0, len(data)]))
-    return C.span_hash(C.prefix(data), starts, ends)
+    return C.string_hash(data, starts, ends)
 
 
 def budget_of(words: int, share: float) -> int:
@@ -127,7 +127,7 @@ def _hits(docs: DataFrame, lengths: list[int], table: np.ndarray) -> DataFrame:
         for i, j, data, offs in C.pieces(batch.column(1)):
             low = C.LOWER[data]
             starts, ends, first = C.words(low, offs)
-            h = C.span_hash(C.prefix(low), starts, ends)
+            h = C.string_hash(low, starts, ends)
             doc = C.owner(first)
             found = []
             for n in lengths:

@@ -35,11 +35,10 @@ def document_stats(data: np.ndarray, offs: np.ndarray) -> dict[str, np.ndarray]:
     sep, points, sym, upper, letters, bang, bar, digit, high, stop = counts.T
     starts, ends, first = C.words(data, offs)
     n_words = np.diff(first)
-    s = C.prefix(data)
     # Words in five-word windows that are found twice or more.
     repeated = np.zeros(n)
     echoes = np.zeros(n)
-    doc, h = C.owner(first), C.span_hash(s, starts, ends)
+    doc, h = C.owner(first), C.string_hash(data, starts, ends)
     if len(starts) >= 2:
         echoes = np.bincount(doc[1:], weights=(h[1:] == h[:-1]) & (doc[1:] == doc[:-1]), minlength=n)
     if len(starts) >= 5:
@@ -70,7 +69,7 @@ def document_stats(data: np.ndarray, offs: np.ndarray) -> dict[str, np.ndarray]:
         d = np.searchsorted(offs, a, "right") - 1
         lines = np.bincount(d, minlength=n).astype(float)
         b = b - ((b > a) & (data[b - 1] == 10))
-        key = C.mix(C.span_hash(s, a, b) ^ (d.astype(C.U64) * C.U64(0x9E3779B97F4A7C15)))
+        key = C.mix(C.string_hash(data, a, b) ^ (d.astype(C.U64) * C.U64(0x9E3779B97F4A7C15)))
         order = np.argsort(key, kind="stable")
         again = np.zeros(len(order), bool)
         again[1:] = key[order][1:] == key[order][:-1]

@@ -154,7 +154,7 @@ class PieceEncoder:
         begin[run] = True
         begin = np.flatnonzero(begin[: len(data)])
         stop = np.append(begin[1:], len(data))
-        keys = C.span_hash(C.prefix(data), begin, stop)
+        keys = C.string_hash(data, begin, stop)
         if self.n > CACHE_PIECES:
             self.forget()
         piece = self._find(keys)
