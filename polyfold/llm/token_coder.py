@@ -23,8 +23,8 @@ import numpy as np
 MAGIC = b"PFT1"
 HEAD, BLOCK_HEAD = struct.Struct("<4sIII"), struct.Struct("<III")
 #: Ids of a block; blocks that advance together, whose tables then stay within some MB.
-BLOCK, LANES = 2048, 4096
-O_BITS, TOTAL = 10, 16
+BLOCK, LANES = 2048, 2048
+O_BITS, TOTAL = 9, 16
 #: Ids are below this.
 NO_ID = 65535
 _U = np.uint64

@@ -35,6 +35,11 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def _strings(data: np.ndarray, a: np.ndarray, b: np.ndarray) -> list[str]:
+    raw = data.tobytes()
+    return [raw[x:y].decode("utf-8", "replace") for x, y in zip(a.tolist(), b.tolist())]
+
+
 class PieceEncoder:
     """Ids of whole texts, with remembered pieces for byte-level BPE tokenizers; others see every text whole."""
 
@@ -77,17 +82,23 @@ class PieceEncoder:
         count = np.array([len(x) for x in got], np.int64)
         return np.fromiter((i for x in got for i in x), np.uint16, int(count.sum())), count
 
-    def _lines(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """The same for pieces without line breaks, many in one call: breaks between them are pieces of their own."""
+    def _lines(self, data: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The same for the pieces from a to b of data, without line breaks, many in one call: breaks between them are pieces of their own."""
         if self.line is None:
-            return self._each(texts)
+            return self._each(_strings(data, a, b))
         ids, counts = [], []
-        for i in range(0, len(texts), 4096):
-            some = texts[i : i + 4096]
-            got = np.array(self.library.encode_batch_fast(["\n".join(some) + "\n"], add_special_tokens=False)[0].ids, np.uint16)
+        for i in range(0, len(a), 4096):
+            first, size = a[i : i + 4096], (b - a)[i : i + 4096]
+            # The pieces one after another, each closed by a line break.
+            end = np.cumsum(size + 1)
+            text = np.full(int(end[-1]), 10, np.uint8)
+            inside = np.ones(len(text), bool)
+            inside[end - 1] = False
+            text[inside] = data[np.repeat(first - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))]
+            got = np.array(self.library.encode_batch_fast([text.tobytes().decode("utf-8", "replace")], add_special_tokens=False)[0].ids, np.uint16)
             at = np.flatnonzero(got == self.line)
-            if len(at) != len(some):  # a piece ends in white space of another kind, which joins the break
-                got, count = self._each(some)
+            if len(at) != len(size):  # a piece ends in white space of another kind, which joins the break
+                got, count = self._each(_strings(data, first, first + size))
             else:
                 count = np.diff(at, prepend=-1) - 1
                 got = got[got != self.line]
@@ -95,15 +106,15 @@ class PieceEncoder:
             counts.append(count)
         return np.concatenate([*ids, np.zeros(0, np.uint16)]), np.concatenate([*counts, np.zeros(0, np.int64)])
 
-    def _learn(self, keys: np.ndarray, texts: list[str]) -> None:
-        """keys: sorted, and none of them known."""
-        plain = np.array(["\n" not in t and not t.isspace() for t in texts])
-        count = np.zeros(len(texts), np.int64)
-        first = np.zeros(len(texts), np.int64)
+    def _learn(self, keys: np.ndarray, data: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
+        """The pieces from a to b of data. keys: sorted, and none of them known."""
+        word = ~C.IS_SEP[data[b - 1]]  # pieces are words, with what is before them, or separators
+        count = np.zeros(len(keys), np.int64)
+        first = np.zeros(len(keys), np.int64)
         at = len(self.ids)
         parts = [self.ids]
-        for rows, how in ((np.flatnonzero(plain), self._lines), (np.flatnonzero(~plain), self._each)):
-            ids, n = how([texts[i] for i in rows])
+        for rows, how in ((np.flatnonzero(word), self._lines), (np.flatnonzero(~word), lambda *x: self._each(_strings(*x)))):
+            ids, n = how(data, a[rows], b[rows])
             count[rows], first[rows] = n, at + np.cumsum(n) - n
             at += len(ids)
             parts.append(ids)
@@ -161,8 +172,8 @@ class PieceEncoder:
         new = np.flatnonzero(piece == 0)
         if len(new):
             u, where = np.unique(keys[new], return_index=True)
-            raw, w = data.tobytes(), new[where]
-            self._learn(u, [raw[a:b].decode("utf-8", "replace") for a, b in zip(begin[w].tolist(), stop[w].tolist())])
+            w = new[where]
+            self._learn(u, data, begin[w], stop[w])
             piece[new] = self.n - len(u) + np.searchsorted(u, keys[new])
         first, count = self.first.take(piece), self.count.take(piece)
         # Room for the end ids: a piece of one id after each document's last piece.
