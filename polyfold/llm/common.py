@@ -368,6 +368,17 @@ def components(edges: DataFrame, spark: SparkSession) -> DataFrame:
     return out
 
 
+#: Parts that the rows of one key are dealt to where a key may be hot.
+SALTS = 16
+
+
+def salted_join(rows: DataFrame, values: DataFrame, key: str, by: str) -> DataFrame:
+    """rows joined with values (one row a key): a hot key's rows are dealt to SALTS tasks by another column."""
+    (salt,) = fresh([*rows.columns, *values.columns], "_salt")
+    many = values.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn(salt, F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int")).join(many, [key, salt]).drop(salt)
+
+
 def runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
     """Whole groups of rows that agree in keys, from batches in which equal keys stand together.
 

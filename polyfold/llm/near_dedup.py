@@ -328,9 +328,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
         best = found and rounds < BEST_ROUNDS
     C.discard(multi, sets, *parts)
     # From numbers back to documents: the smallest document of all classes of a component.
-    own = classes.select(*keys, "rep", "low").join(comps.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    least_of = own.groupBy("component").agg(F.min("low").alias("least"))
-    final = C.written(own.join(least_of, "component").select(*[F.col(x).alias("_" + x) for x in keys], "least"), spark)
+    placed = comps.join(classes.select(F.col("rep").alias("node"), "low"), "node")
+    found = C.salted_join(placed.select("node", "component"), placed.groupBy("component").agg(F.min("low").alias("least")), "component", "node").select(F.col("node").alias("rep"), "least")
+    final = C.written(classes.join(found, "rep", "left").select(*[F.col(x).alias("_" + x) for x in keys], F.coalesce("least", "low").alias("least")), spark)
     rows = C.written(feat.select("doc_id", *keys), spark)
     C.discard(feat, classes, comps)
     out = rows.join(final, (F.col("k1") == F.col("_k1")) & (F.col("k2") == F.col("_k2")) & (F.col("n") == F.col("_n")), "left")

@@ -103,6 +103,6 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, redirects
     comps = C.components(edges.join(number("a"), "a").join(number("b"), "b").select(F.col("na").alias("a"), F.col("nb").alias("b")), spark)
     placed = nodes.join(comps, "node")
     said = placed.groupBy("component").agg(F.min("own").alias("said"))
-    alias = placed.join(said, "component").select("key", F.col("component").alias("alias_of"), "said")
+    alias = C.salted_join(placed.select("key", "component"), said, "component", "key").select("key", F.col("component").alias("alias_of"), "said")
     out = own.join(alias, "key", "left")
     return out.select("page_id", "host", "path", "rule", F.coalesce("own", "said", F.lit("allow")).alias("verdict"), "alias_of")
