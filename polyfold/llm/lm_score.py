@@ -417,7 +417,9 @@ def score_documents(docs: DataFrame, fold: int = 5, held: int = 1, id_col: str =
 
     schema = "chunk long, n array<long>, known array<long>, base array<double>"
     want_words = to_arrow_schema(_parse_datatype_string(schema))
-    back = C.written(chunks.select("chunk", "bytes", "text").groupBy("chunk").cogroup(back.groupBy("chunk")).applyInArrow(known, schema), spark)
+    tasks = max(1, -(-size // CHUNK_BYTES))  # about a chunk each, whatever the input
+    by_chunk = lambda d: d.repartition(tasks, "chunk").groupBy("chunk")
+    back = C.written(by_chunk(chunks.select("chunk", "bytes", "text")).cogroup(by_chunk(back)).applyInArrow(known, schema), spark)
     C.discard(totals)
     back = back.select("*", F.lit(None).cast("long").alias("group"), F.lit(None).cast("binary").alias("logs"))
     # Bytes: at most 2**24 triples and as many bit nodes reach the driver.
@@ -478,6 +480,6 @@ def score_documents(docs: DataFrame, fold: int = 5, held: int = 1, id_col: str =
     schema = "doc_id long, n_tokens long, n_known long, base_score double, score double, bytes long"
     want = to_arrow_schema(_parse_datatype_string(schema))
     left = chunks.select("chunk", "doc_ids", "bytes", "text")
-    out = left.groupBy("chunk").cogroup(back.groupBy("chunk")).applyInArrow(scored, schema)
+    out = by_chunk(left).cogroup(by_chunk(back)).applyInArrow(scored, schema)
     bits = F.when(F.col("bytes") > 0, -F.col("score") * F.lit(float(np.log2(10))) / F.col("bytes"))
     return out.select("doc_id", (C.crc_fold("doc_id", fold) == held).alias("held_out"), "n_tokens", "n_known", F.lit(n_all).cast("long").alias("train_tokens"), "base_score", "score", bits.alias("bits_per_byte"))

@@ -635,3 +635,18 @@ def test_pieces_and_runs():
     assert [x[:2] for x in got] == [(0, 2), (2, 3), (3, 5)] and got[0][2:] == (b"a", [0, 1, 1])
     b = [pa.RecordBatch.from_pydict({"k": x}) for x in ([1, 1, 2], [2, 2], [2, 3], [3])]
     assert [x["k"].to_pylist() for x in C.runs(iter(b), ["k"])] == [[1, 1], [2, 2, 2, 2], [3, 3]]
+
+
+def test_hot_keys_are_dealt(spark):
+    rows = spark.createDataFrame([(0 if i % 3 else i, i) for i in range(90)], "component long, node long")
+    values = rows.groupBy("component").agg(F.max("node").alias("top"))
+    got = {tuple(r) for r in C.salted_join(rows, values, "component", "node").select("component", "node", "top").collect()}
+    assert got == {tuple(r) for r in rows.join(values, "component").select("component", "node", "top").collect()} and len(got) == 90
+
+
+def test_strings_hash_by_their_bytes():
+    texts = ["", "a", "a\0", "\0a", "word", "12345678", "123456789", "1234567812345678", "x" * 1024, "x" * 1025, "x" * 5000, "é" * 700]
+    data = np.frombuffer("".join([*texts, *texts]).encode(), np.uint8)
+    end = np.cumsum([len(t.encode()) for t in [*texts, *texts]])
+    h = C.string_hash(data, np.concatenate([[0], end[:-1]]), end)
+    assert (h[: len(texts)] == h[len(texts) :]).all() and len(set(h.tolist())) == len(texts)
