@@ -6,11 +6,11 @@ the order-1 prediction and of the block as a whole are added, so the better trie
 that was not predicted takes its share of the third event by its order-0 frequency, a table that adapts to each
 segment and stands in its head. Predictions and counts start anew in every block, so blocks of a segment
 decode independently. Blocks advance in step, one id each, and a step is a few numpy operations over all of
-them. Only integer operations decide, so that any machine decodes what another one encoded.
+them. Only integer operations and one division of doubles decide, which any machine computes alike.
 
 A segment is: magic, pairs (uint32), blocks (uint32), crc32 of all that follows up to the blocks, the order-0 table as
-ids and then frequencies (uint16 each, summing up to 2**16), then the blocks. A block is: ids (uint32), 16-bit words
-(uint32), crc32 of the ids as little-endian uint32, the words.
+ids and then frequencies (uint16 each, summing up to 2**16), then the blocks. A block is: ids (uint32), words
+(uint32), crc32 of the ids as little-endian uint32, the words of 24 bits each.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ import zlib
 
 import numpy as np
 
-MAGIC = b"PFT1"
+MAGIC = b"PFT2"
 HEAD, BLOCK_HEAD = struct.Struct("<4sIII"), struct.Struct("<III")
 #: Ids of a block; blocks that advance together, whose tables then stay within some MB.
 BLOCK, LANES = 2048, 2048
@@ -28,7 +28,9 @@ O_BITS, TOTAL = 9, 16
 #: Ids are below this.
 NO_ID = 65535
 _U = np.uint64
-_WORD, _TOP, _MASK = _U(40), _U(1 << 40), _U((1 << 56) - 1)
+#: The code's window has 62 bits: a word of 24 that is written next, and 38 below, which a range never stays under.
+_WORD, _TOP, _MASK = _U(38), _U(1 << 38), _U((1 << 62) - 1)
+_STEP_BITS, _REST = _U(24), _U(14)
 _FIELD = _U((1 << 21) - 1)
 #: What each event adds to the packed counts, by (order 2 held) + 2 * (order 1 held).
 _EVENT = 24 * np.array([1 << 42, 1, 1 << 21, 1], np.int64)
@@ -74,7 +76,7 @@ class _Lanes:
         self.row = np.arange(n, dtype=np.int64)
         self.base = np.stack([self.row << O_BITS, (self.row + n) << O_BITS])
         self.table = np.full(2 * n << O_BITS, NO_ID, np.int32)
-        self.past = np.zeros((2, n), np.int64)  # the last two ids as one number, and the last one
+        self.past = np.zeros((2, n), np.uint32)  # the last two ids as one number, and the last one
         # Counts of the events by state; predictions of higher confidence start higher.
         e2 = [[1, 8, 32]] * 2 + [[8, 4, 16], [16, 1, 8], [32, 4, 8], [48, 1, 4], [64, 2, 4], [64, 1, 2]]
         e1 = [[4, 1, 32], [4, 8, 32], [4, 24, 16], [4, 48, 8]]
@@ -82,11 +84,13 @@ class _Lanes:
         self.events = np.concatenate([np.tile(packed[:8], n), np.tile(packed[8:], n)])
         self.state = np.stack([self.row << 3, 8 * n + (self.row << 2)])
         self.all = np.full(n, 4 + (4 << 21) + (16 << 42), np.int64)
-        self.low, self.range = np.zeros(n, _U), np.full(n, 1 << 56, _U)
+        self.low, self.range = np.zeros(n, _U), np.full(n, 1 << 62, _U)
 
     def predict(self, m: int):
         """Ends of the first two events' shares, and the third's size."""
-        self.at = self.base[:, :m] + (self.past[:, :m] * 2654435761 >> 15 & (1 << O_BITS) - 1)
+        h = self.past[:, :m] * np.uint32(2654435761)
+        h >>= np.uint32(32 - O_BITS)
+        self.at = self.base[:, :m] + h
         self.old = self.table.take(self.at, mode="clip")
         self.q = self.old & 0xFFFF
         self.conf = self.old >> 16
@@ -99,7 +103,7 @@ class _Lanes:
         a = e & _FIELD
         c = e >> _U(42)
         b = (e >> _U(21) & _FIELD) + a
-        r = self.range[:m] // (b + c)
+        r = _quotient(self.range[:m], b + c)
         a *= r
         b *= r
         c *= r
@@ -113,8 +117,17 @@ class _Lanes:
         inc = _EVENT.take(h[0] + 2 * h[1], mode="clip")
         self.events[self.s] = self.counts + inc
         self.all[:m] += inc
-        self.past[0, :m] = self.past[1, :m] * 40503 + x
-        self.past[1, :m] = x
+        last = self.past[1, :m]
+        np.multiply(last, np.uint32(40503), out=self.past[0, :m])
+        last[:] = x
+        self.past[0, :m] += last
+
+
+def _quotient(r: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """At most r / n, and hardly less: one division of doubles, which all machines round alike. r: from 2**38 to 2**62, n: below 2**18."""
+    q = (((r >> _U(10)) - _U(1)).view(np.int64).astype(np.float64) / n.view(np.int64)).astype(np.int64).view(_U)
+    q <<= _U(10)
+    return q
 
 
 def _narrow(l: np.ndarray, r: np.ndarray) -> np.ndarray:  # noqa: E741
@@ -126,9 +139,9 @@ def _encode(ids: np.ndarray, sizes: np.ndarray, order0: Order0) -> list[bytes]:
     """ids: steps by lanes, longest lane first."""
     steps, n = ids.shape
     s = _Lanes(n)
-    width = steps * 3 + 8
-    flat = np.zeros(n * width, np.uint16)
-    pos = s.row * width
+    # Words by their numbers and then by lanes, so that a step writes close together.
+    flat = np.zeros((steps * 3 + 8) * n, np.uint32)
+    pos = s.row.copy()
     low, rng = s.low, s.range
     starts, shares = order0.start.astype(_U), order0.size.astype(_U)
     active = np.searchsorted(-sizes, -np.arange(steps), "left")
@@ -144,31 +157,34 @@ def _encode(ids: np.ndarray, sizes: np.ndarray, order0: Order0) -> list[bytes]:
         at = np.flatnonzero(rng[:m] < _TOP)
         while len(at):
             l = low[at]  # noqa: E741
-            r = _narrow(l, rng[at]) << _U(16)
+            r = _narrow(l, rng[at]) << _STEP_BITS
             p = pos[at]
             flat[p] = l >> _WORD
-            pos[at] = p + 1
-            low[at] = (l << _U(16)) & _MASK
+            pos[at] = p + n
+            low[at] = (l << _STEP_BITS) & _MASK
             rng[at] = r
             at = at[r < _TOP]
         s.learn(m, x, hit)
-    for k in (40, 24, 8):
-        flat[pos] = (low >> _U(k)) & _U(0xFFFF)
-        pos += 1
-    flat[pos] = (low << _U(8)) & _U(0xFFFF)
-    pos += 1
-    return [flat[i * width : p].tobytes() for i, p in enumerate(pos.tolist())]
+    for word in (low >> _WORD, low >> _REST, low << _U(10)):
+        flat[pos] = word & _U(0xFFFFFF)
+        pos += n
+    count = pos // n
+    lanes = np.ascontiguousarray(flat.reshape(-1, n)[: count.max()].T).astype("<u4", copy=False)
+    return [x[:k].view(np.uint8).reshape(-1, 4)[:, :3].tobytes() for x, k in zip(lanes, count.tolist())]
 
 
 def _decode(words: list[np.ndarray], sizes: np.ndarray, order0: Order0) -> np.ndarray:
     n, steps = len(words), int(sizes.max())
     s = _Lanes(n)
-    flat = np.concatenate([*words, np.zeros(4, np.uint16)]).astype(_U)
-    pos = np.cumsum([0, *map(len, words)])[:-1].astype(np.int64)
-    gap = (flat[pos] << _U(40)) | (flat[pos + 1] << _U(24)) | (flat[pos + 2] << _U(8)) | (flat[pos + 3] >> _U(8))
-    # gap is the code minus low; the last word read so far has eight bits to come.
-    held = flat[pos + 3] & _U(255)
-    pos += 4
+    lanes = np.zeros((n, max(map(len, words)) + 3, 4), np.uint8)
+    for x, w in zip(lanes, words):
+        x[: len(w), :3] = w
+    flat = np.ascontiguousarray(lanes.view("<u4")[:, :, 0].T).ravel()
+    first = [flat[s.row + k * n].astype(_U) for k in range(3)]
+    pos = s.row + 3 * n
+    # gap is the code minus low; the last word read so far has ten bits to come.
+    gap = (first[0] << _WORD) | (first[1] << _REST) | (first[2] >> _U(10))
+    held = first[2] & _U(1023)
     low, rng = s.low, s.range
     starts, shares, of = order0.start.astype(_U), order0.size.astype(_U), order0.of
     out = np.zeros((steps, n), np.int64)
@@ -188,12 +204,13 @@ def _decode(words: list[np.ndarray], sizes: np.ndarray, order0: Order0) -> np.nd
         at = np.flatnonzero(rng[:m] < _TOP)
         while len(at):
             l = low[at]  # noqa: E741
-            r = _narrow(l, rng[at]) << _U(16)
-            w = flat.take(pos[at], mode="clip")  # a damaged stream ends in a wrong checksum
-            gap[at] = (gap[at] << _U(16)) | (held[at] << _U(8)) | (w >> _U(8))
-            held[at] = w & _U(255)
-            pos[at] += 1
-            low[at] = (l << _U(16)) & _MASK
+            r = _narrow(l, rng[at]) << _STEP_BITS
+            p = pos[at]
+            w = flat.take(p, mode="clip").astype(_U)  # a damaged stream ends in a wrong checksum
+            gap[at] = (gap[at] << _STEP_BITS) | (held[at] << _REST) | (w >> _U(10))
+            held[at] = w & _U(1023)
+            pos[at] = p + n
+            low[at] = (l << _STEP_BITS) & _MASK
             rng[at] = r
             at = at[r < _TOP]
         out[t, :m] = x
@@ -219,7 +236,7 @@ def encode_segment(ids: np.ndarray) -> bytes:
         for j, b in enumerate(some):
             table[: len(b), j] = b
         coded += _encode(table, sizes, order0)
-    return b"".join([order0.pack(len(blocks)), *(x for b, c in zip(blocks, coded) for x in (BLOCK_HEAD.pack(len(b), len(c) // 2, crc(b)), c))])
+    return b"".join([order0.pack(len(blocks)), *(x for b, c in zip(blocks, coded) for x in (BLOCK_HEAD.pack(len(b), len(c) // 3, crc(b)), c))])
 
 
 def decode_segment(data: bytes) -> np.ndarray:
@@ -235,8 +252,8 @@ def decode_segment(data: bytes) -> np.ndarray:
     for _ in range(count):
         n, words, check = BLOCK_HEAD.unpack_from(data, at)
         at += BLOCK_HEAD.size
-        blocks.append((n, check, np.frombuffer(data, "<u2", words, at)))
-        at += 2 * words
+        blocks.append((n, check, np.frombuffer(data, np.uint8, 3 * words, at).reshape(-1, 3)))
+        at += 3 * words
     out = []
     for i in range(0, count, LANES):
         some = blocks[i : i + LANES]

@@ -87,8 +87,8 @@ class PieceEncoder:
         if self.line is None:
             return self._each(_strings(data, a, b))
         ids, counts = [], []
-        for i in range(0, len(a), 4096):
-            first, size = a[i : i + 4096], (b - a)[i : i + 4096]
+        for i in range(0, len(a), 256):
+            first, size = a[i : i + 256], (b - a)[i : i + 256]
             # The pieces one after another, each closed by a line break.
             end = np.cumsum(size + 1)
             text = np.full(int(end[-1]), 10, np.uint8)
