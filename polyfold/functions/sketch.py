@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
+import zlib
+from collections.abc import Iterable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -55,10 +59,15 @@ def hll_merge(a: DataFrame, b: DataFrame) -> DataFrame:
     return a.union(b).groupBy("register").agg(F.max("rank").alias("rank"))
 
 
+def hll_alpha(m: int) -> float:
+    # The bias corrections of HyperLogLog (Flajolet et al. 2007).
+    return {16: 0.673, 32: 0.697, 64: 0.709}.get(m, 0.7213 / (1 + 1.079 / m))
+
+
 def hll_count(registers: DataFrame, error: float = 0.01) -> DataFrame:
     """One row, n: the estimated number of distinct items."""
     m = 1 << hll_precision(error)
-    alpha = {16: 0.673, 32: 0.697, 64: 0.709}.get(m, 0.7213 / (1 + 1.079 / m))
+    alpha = hll_alpha(m)
     s = registers.agg(F.coalesce(F.sum(F.pow(F.lit(2.0), -F.col("rank"))), F.lit(0.0)).alias("s"), F.count("*").alias("k"))
     zeros = m - F.col("k")
     raw = F.lit(alpha * m * m) / (F.col("s") + zeros)
@@ -88,3 +97,46 @@ def bloom_contains(probe: DataFrame, id_col: str, text: Column, bits_df: DataFra
     want = bloom_positions(probe, [id_col], text, *bloom_size(capacity, error)).distinct()
     hit = want.join(bits_df.withColumn("set", F.lit(1)), "pos", "left")
     return hit.groupBy(id_col).agg((F.count("*") == F.count("set")).alias("maybe"))
+
+
+class SketchState:
+    """Both sketches in memory, for single items: what a store keeps as one binary value."""
+
+    def __init__(self, capacity: int, error: float, packed: bytes | None = None) -> None:
+        self.p = hll_precision(error)
+        self.bits, self.hashes = bloom_size(capacity, error)
+        raw = np.frombuffer(zlib.decompress(packed), np.uint8) if packed else np.zeros((1 << self.p) + -(-self.bits // 8), np.uint8)
+        self.registers, self.bloom = raw[: 1 << self.p].copy(), raw[1 << self.p :].copy()
+
+    def pack(self) -> bytes:
+        return zlib.compress(self.registers.tobytes() + self.bloom.tobytes(), 1)
+
+    def _positions(self, text: str) -> list[int]:
+        h = hashlib.md5(text.encode()).digest()
+        a, b = int.from_bytes(h[:8], "little"), int.from_bytes(h[8:], "little")
+        return [(a + i * b) % self.bits for i in range(self.hashes)]
+
+    def add(self, texts: Iterable[str]) -> None:
+        for text in texts:
+            h = int.from_bytes(hashlib.sha1(text.encode()).digest()[:8], "little")
+            w = h >> self.p
+            rank = min((w & -w).bit_length() - 1 if w else 64, 64 - self.p) + 1
+            at = h & ((1 << self.p) - 1)
+            self.registers[at] = max(int(self.registers[at]), rank)
+            for x in self._positions(text):
+                self.bloom[x >> 3] |= 1 << (x & 7)
+
+    def merge(self, registers: DataFrame, bits: DataFrame) -> None:
+        """Takes in hll_registers and bloom_bits, which are bounded by the sketch's own size."""
+        r, b = registers.toArrow(), bits.toArrow()["pos"].to_numpy()
+        np.maximum.at(self.registers, r["register"].to_numpy(), r["rank"].to_numpy().astype(np.uint8))
+        np.bitwise_or.at(self.bloom, b >> 3, (1 << (b & 7)).astype(np.uint8))
+
+    def contains(self, text: str) -> bool:
+        return all(self.bloom[x >> 3] >> (x & 7) & 1 for x in self._positions(text))
+
+    def count(self) -> int:
+        m = 1 << self.p
+        raw = hll_alpha(m) * m * m / float(np.exp2(-self.registers.astype(float)).sum())
+        zeros = int((self.registers == 0).sum())
+        return int(m * math.log(m / zeros)) if raw <= 2.5 * m and zeros else int(raw)

@@ -6,8 +6,9 @@ default), length. It can be kept as a table; postings() is its inverted form, cl
 
 from __future__ import annotations
 
+import asyncio
 import json
-from collections.abc import Iterator
+from collections.abc import AsyncIterator, Iterator
 from typing import Any
 
 import pyarrow as pa
@@ -248,6 +249,15 @@ class DocumentQuery:
     def __iter__(self) -> Iterator[Any]:
         return iter(self.frame().toLocalIterator())
 
+    def __await__(self):
+        """All rows; the query runs in a thread of its own."""
+        return asyncio.to_thread(self.frame().collect).__await__()
+
+    async def __aiter__(self) -> AsyncIterator[Any]:
+        rows = iter(self)
+        while (row := await asyncio.to_thread(next, rows, None)) is not None:
+            yield row
+
 
 def search(documents: DataFrame, query: str | None = None, on: list[str] | None = None, fuzzy: bool = False, *, where: list[P.Filter] | None = None, sort: dict[str, str] | None = None, limit: int | None = None, offset: int | None = None, index: DataFrame | None = None, trigrams: DataFrame | None = None, stem: bool = True) -> DataFrame:
     """One call for DocumentQuery; without a query it is a filtered scan."""

@@ -55,11 +55,14 @@ def children_of(d: DataFrame, frontier: DataFrame, label: str | None = None) ->
     return _labelled(d, label).join(f, "source", "left_semi").select("source", F.col("target").alias("node"))
 
 
-def walk(d: DataFrame, start: DataFrame, depth: int, label: str | None = None, checkpoint: bool = False) -> DataFrame:
+def walk(d: DataFrame, start: DataFrame, depth: int, label: str | None = None, checkpoint: bool | None = None) -> DataFrame:
     """node, depth: nodes within so many hops of start (column node), each at its least depth. An extension.
 
-    A level is one join and one anti-join against all nodes seen, so cycles end by themselves.
+    A level is one join and one anti-join against all nodes seen, so cycles end by themselves. Levels are checkpointed, so that none
+    is computed again for the next, unless checkpoint is False; by default where there is a checkpoint folder.
     """
+    if checkpoint is None:
+        checkpoint = d.sparkSession.sparkContext.getCheckpointDir() is not None
     seen = start.select("node").distinct().withColumn("depth", F.lit(0))
     frontier = seen
     for level in range(1, depth + 1):

@@ -17,14 +17,15 @@ def check_ttl(ttl: Any) -> float | None:
     return None if ttl is None else float(ttl)
 
 
-def latest(ops: DataFrame, key: str = "key", seq: str = "seq") -> DataFrame:
+def latest(ops: DataFrame, key: str | list[str] = "key", seq: str = "seq") -> DataFrame:
     """The last row of each key, if it is a put: the snapshot of an operation log (columns op and seq).
 
     Partial maxima are taken before the shuffle, so a key that is written often costs one row a task.
     """
-    rest = [c for c in ops.columns if c != key]
-    last = ops.groupBy(key).agg(F.max_by(F.struct(*rest), F.col(seq)).alias("_r"))
-    return last.select(key, *[F.col(f"_r.{c}").alias(c) for c in rest]).where(F.col("op") == "put")
+    keys = [key] if isinstance(key, str) else key
+    rest = [c for c in ops.columns if c not in keys]
+    last = ops.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.col(seq)).alias("_r"))
+    return last.select(*keys, *[F.col(f"_r.{c}").alias(c) for c in rest]).where(F.col("op") == "put")
 
 
 def set_rows(keys_values: DataFrame, now: float, ttl: float | None = None) -> DataFrame:

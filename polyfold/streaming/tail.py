@@ -1,7 +1,7 @@
 """Streams: following operation logs and event tables with Structured Streaming.
 
-Every subscriber is a query of its own. Commits appear as new files, so a file source sees each row once; a
-checkpoint location makes a follower go on where it stopped.
+Every subscriber is a query of its own. Commits appear as new folders, so a file source sees each row once; what
+compaction writes stands elsewhere. A checkpoint location makes a follower go on where it stopped.
 """
 
 from __future__ import annotations
