@@ -154,6 +154,13 @@ def phrases_of(node) -> list[Phrase]:
     return list(dict.fromkeys(p for x in parts for p in phrases_of(x)))
 
 
+def needs_positions(node) -> bool:
+    """Whether it matters where phrases stand, not only how often."""
+    if isinstance(node, Phrase):
+        return node.initial
+    return isinstance(node, Near) or any(map(needs_positions, node.parts))
+
+
 def terms_of(node) -> list[tuple[str, bool]]:
     """(word, whether it is a prefix) that a query looks up."""
     return list(dict.fromkeys((w, p.prefix and i == len(p.words) - 1) for p in phrases_of(node) for i, w in enumerate(p.words)))

@@ -93,14 +93,25 @@ def _is_at(term: tuple[str, bool]):
     return lambda i: _where(term, F.get(F.col("tokens"), i))
 
 
+def _occurrences(phrase: Q.Phrase) -> Column:
+    """How often a phrase stands in the words in _joined, which have single spaces around them; words are letters and digits only."""
+    pattern = " ".join(phrase.words) + ("" if phrase.prefix else " ")
+    return F.regexp_count("_joined", F.lit(f"(?<= )(?={pattern})")) if phrase.words else F.lit(0)
+
+
 def _found(index: DataFrame, node) -> tuple[DataFrame, dict[Q.Phrase, Column]]:
-    """index rows with the positions of the query's words in columns, and the phrases' positions."""
+    """index rows with the phrases' positions, or where positions don't matter (no NEAR, no ^) an array of as many elements."""
+    phrases = Q.phrases_of(node)
+    if not Q.needs_positions(node):
+        d = once(index, ["id", "field_path", "length"], {"_joined": F.concat(F.lit(" "), F.array_join("tokens", " "), F.lit(" "))})
+        d = once(d, ["id", "field_path", "length"], {f"_c{i}": _occurrences(p) for i, p in enumerate(phrases)})
+        return d, {p: F.array_repeat(F.lit(0), F.col(f"_c{i}")) for i, p in enumerate(phrases)}
     terms = Q.terms_of(node)
     cols = {t: f"_t{i}" for i, t in enumerate(terms)}
     every = F.sequence(F.lit(0), F.size("tokens") - 1)
     at = {name: F.filter(every, _is_at(t)) for t, name in cols.items()}
     d = once(index, ["id", "field_path", "length"], at)
-    return d, {p: Q.positions(p, {t: F.col(n) for t, n in cols.items()}) for p in Q.phrases_of(node)}
+    return d, {p: Q.positions(p, {t: F.col(n) for t, n in cols.items()}) for p in phrases}
 
 
 def _found_in_postings(post: DataFrame, lengths: DataFrame, node) -> tuple[DataFrame, dict[Q.Phrase, Column]]:

@@ -374,8 +374,3 @@ def sketch_bloom_contains(spark: SparkSession, d: str) -> DataFrame:
     """Parts whose key may be that of a supplier."""
     bits = S.bloom_bits(table(spark, d, "lineitem"), S.item_text(F.col("l_suppkey"), "bigint"), CAPACITY, 0.01)
     return S.bloom_contains(table(spark, d, "part"), "p_partkey", S.item_text(F.col("p_partkey"), "bigint"), bits, CAPACITY, 0.01)
-
-
-@query()
-def sketch_approx_builtin(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "lineitem").agg(F.approx_count_distinct("l_partkey", 0.01).alias("n"))
