@@ -183,24 +183,30 @@ def positions(phrase: Phrase, at: dict[tuple[str, bool], Column]) -> Column:
 
 
 def near_positions(near: Near, found: dict[Phrase, Column]) -> list[Column]:
-    """For each phrase its positions that lie in a match: any two phrases at most distance words apart.
-
-    Exact for two phrases; for more, each is held against the first.
-    """
+    """For each phrase its positions that lie in a match: every phrase begins at or before a place where one of them
+    begins, and ends at most distance words before it."""
     if len(near.phrases) == 1:
         return [found[near.phrases[0]]]
+    reach = [len(p.words) + near.distance for p in near.phrases]
+
+    def within(n: int, place: Column):
+        return lambda p: (p <= place) & (p >= place - F.lit(n))
+
+    def complete(place: Column) -> Column:
+        out = F.lit(True)
+        for p, n in zip(near.phrases, reach):
+            out = out & F.exists(found[p], within(n, place))
+        return out
 
-    def close(mine: Phrase, other: Phrase, others: Column):
-        def gap(a: Column, b: Column) -> Column:
-            return F.when(a < b, b - a - F.lit(len(mine.words))).otherwise(a - b - F.lit(len(other.words)))
+    places = found[near.phrases[0]]
+    for p in near.phrases[1:]:
+        places = F.array_union(places, found[p])
+    places = F.filter(places, complete)
 
-        return lambda a: F.exists(others, lambda b: gap(a, b) <= near.distance)
+    def inside(n: int):
+        return lambda p: F.exists(places, lambda place: (p <= place) & (p >= place - F.lit(n)))
 
-    head, rest = near.phrases[0], near.phrases[1:]
-    anchors = found[head]
-    for p in rest:
-        anchors = F.filter(anchors, close(head, p, found[p]))
-    return [anchors, *(F.filter(found[p], close(p, head, anchors)) for p in rest)]
+    return [F.filter(found[p], inside(n)) for p, n in zip(near.phrases, reach)]
 
 
 def matches(node, found: dict[Phrase, Column]) -> Column:

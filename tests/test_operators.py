@@ -40,6 +40,18 @@ def test_full_text_is_sqlites(indexed, q):
         assert all(abs(got[i] - want[i]) < 1e-9 for i in want)
 
 
+@pytest.mark.parametrize("q", ["NEAR(aa bb cc, 2)", 'NEAR(aa "bb cc" dd, 3)', "NEAR(aa bb, 1)", "NEAR(aa bb cc dd, 5)", "NEAR(aa aa bb, 2)", "NEAR(aa bb* cc, 1)"])
+def test_near_is_sqlites(spark, q):
+    rng = random.Random(q)
+    rows = [(i, " ".join(rng.choice(["aa", "bb", "cc", "dd", "ee", "ff", "gg", "bbx"]) for _ in range(rng.randrange(4, 25)))) for i in range(150)]
+    db = sqlite3.connect(":memory:")
+    db.execute("CREATE VIRTUAL TABLE t USING fts5(c, tokenize='porter')")
+    db.executemany("INSERT INTO t(rowid, c) VALUES (?, ?)", rows)
+    want = {i for (i,) in db.execute("SELECT rowid FROM t WHERE t MATCH ?", (q,))}
+    index = docs.index_rows(docs.flatten_columns(spark.createDataFrame(rows, "id long, t string"), "id", {"t": F.col("t")}))
+    assert {r["id"] for r in docs.full_text(index, q).collect()} == want and 0 < len(want) < 150
+
+
 def test_documents(spark):
     rows = [("a", '{"name": "Laptop", "price": 1000, "category": "tech", "tags": ["x", "Python"]}'), ("b", '{"name": "Phone", "price": 500, "category": "tech"}'), ("c", '{"name": "Apple", "price": 1, "category": "food", "n": {"m": " "}}'), ("d", '"The qick brown fx"'), ("e", "not json")]
     d = spark.createDataFrame(rows, "id string, body string")
