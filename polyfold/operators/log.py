@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -58,14 +60,25 @@ def range_(
     limit: int | None = None,
     offset: int | None = None,
     manifest: fieldindex.Manifest | None = None,
+    clock: str | None = None,
 ) -> DataFrame:
     """Entries from start to end, both included, that pass all filters, by time.
 
+    clock: a column of d that timestamp was computed from, as a timestamp in UTC; bounds on it, a microsecond wider,
+    reach the scan, where bounds on a computed column don't.
+
     Filters on fields that manifest holds complete become comparisons on typed columns, which reach the scan;
     others read the JSON text. offset works without limit.
     """
     if order not in ("ASC", "DESC"):
         raise ValueError("order must be ASC or DESC")
+    if clock is not None:
+        kind = dict(d.dtypes)[clock]
+        at = lambda seconds, by: F.lit(datetime.datetime(1970, 1, 1) + datetime.timedelta(microseconds=round(seconds * 1e6) + by)).cast("timestamp_ntz").cast(kind)
+        if start is not None:
+            d = d.where(F.col(clock) >= at(start, -1))
+        if end is not None:
+            d = d.where(F.col(clock) <= at(end, 1))
     if start is not None:
         d = d.where(F.col("timestamp") >= F.lit(float(start)))
     if end is not None:

@@ -186,7 +186,7 @@ def queue_count(spark: SparkSession, d: str) -> DataFrame:
 
 def _log(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "events")
-    return e.select(log.epoch(F.col("ts")).alias("timestamp"), F.col("props").alias("data"), "event_id", "event_type", "user_id")
+    return e.select(log.epoch(F.col("ts")).alias("timestamp"), F.col("props").alias("data"), "event_id", "event_type", "user_id", "ts")
 
 
 _LOG = "(SELECT epoch_us(ts) / 1e6 AS timestamp, props AS data, event_id, event_type, user_id, CAST(props->>'$.k' AS DOUBLE) AS k FROM events)"
@@ -195,23 +195,23 @@ FROM, TO = 1704500000.0, 1705500000.0
 
 @query(f"SELECT timestamp, data, event_id FROM {_LOG} WHERE timestamp >= {FROM} AND timestamp <= {TO}")
 def log_range(spark: SparkSession, d: str) -> DataFrame:
-    return log.range_(_log(spark, d), FROM, TO).select("timestamp", "data", "event_id")
+    return log.range_(_log(spark, d), FROM, TO, clock="ts").select("timestamp", "data", "event_id")
 
 
 @query(f"SELECT timestamp, data, event_id FROM {_LOG} WHERE timestamp >= {FROM} ORDER BY timestamp DESC LIMIT 50 OFFSET 100")
 def log_range_desc_page(spark: SparkSession, d: str) -> DataFrame:
-    return log.range_(_log(spark, d), FROM, order="DESC", limit=50, offset=100).select("timestamp", "data", "event_id")
+    return log.range_(_log(spark, d), FROM, order="DESC", limit=50, offset=100, clock="ts").select("timestamp", "data", "event_id")
 
 
 @query(f"SELECT timestamp, data, event_id FROM {_LOG} WHERE timestamp >= {FROM} AND timestamp <= {TO} AND k >= 40 AND k <> 55")
 def log_range_where(spark: SparkSession, d: str) -> DataFrame:
-    return log.range_(_log(spark, d), FROM, TO, [P.q("k") >= 40, P.q("k") != 55]).select("timestamp", "data", "event_id")
+    return log.range_(_log(spark, d), FROM, TO, [P.q("k") >= 40, P.q("k") != 55], clock="ts").select("timestamp", "data", "event_id")
 
 
 @query(f"SELECT timestamp, data, event_id FROM {_LOG} WHERE timestamp >= {FROM} AND timestamp <= {TO} AND k >= 40 AND k <> 55")
 def log_where_indexed(spark: SparkSession, d: str) -> DataFrame:
     m = fieldindex.Manifest().declare("k", complete=True)
-    return log.range_(fieldindex.materialise(_log(spark, d), ["k"]), FROM, TO, [P.q("k") >= 40, P.q("k") != 55], manifest=m).select("timestamp", "data", "event_id")
+    return log.range_(fieldindex.materialise(_log(spark, d), ["k"]), FROM, TO, [P.q("k") >= 40, P.q("k") != 55], manifest=m, clock="ts").select("timestamp", "data", "event_id")
 
 
 @query("SELECT count(*) AS n FROM events")
