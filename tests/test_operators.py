@@ -211,3 +211,15 @@ def test_lsh_recall_without_clusters(spark):
         exact = {r["item_id"] for r in vectors.near(d, p, 10).collect()}
         found += len(exact & {r["item_id"] for r in vectors.near(d, p, 10, method="lsh", planes=planes, radius=9).collect()})
     assert found >= 0.9 * 10 * len(probes)
+
+
+def test_positions_without_bringing_a_list_together(spark, monkeypatch):
+    d = spark.createDataFrame([(f"{i:03}", str(i)) for i in range(60)], "item_order string, item_value string").repartition(5)
+    one = lambda x: [r["item_value"] for r in seq.ordered(x).collect()]
+    whole = [str(i) for i in range(60)]
+    for a, b in ((3, 9), (None, 5), (-4, None), (50, 99), (-99, 2), (9, 3), (None, None)):
+        assert one(seq.slice_(d, a, b)) == whole[a:b]
+    for edge in (0, 1000):
+        monkeypatch.setattr(seq, "NEAR_END", edge)
+        assert [one(seq.at(d, i)) for i in (0, 17, 59, -1, -60, 60, -61)] == [["0"], ["17"], ["59"], ["59"], ["0"], [], []]
+        assert seq.bounds_for_insert(d, 17) == ("016", "017") and seq.bounds_for_insert(d, 60) == ("059", None) and seq.bounds_for_insert(d, 99) == ("059", None)
