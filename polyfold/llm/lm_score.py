@@ -371,9 +371,10 @@ def score_documents(docs: DataFrame, fold: int = 5, held: int = 1, id_col: str =
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte of every row.
 
     Rows outside the held-out fold train. depth: bytes of the longest context, 2 to 6. Null and empty texts have
-    one token, the end, and score 0 with null bits_per_byte. Repeated rows count as often as they stand and get
-    equal results. Without training rows every word is unknown, train_tokens is 0 and base_score is the sum's
-    limit, log10(0.5 / 0.5) = 0.
+    one token, the end, and score 0 with null bits_per_byte; very long texts are scored whole. Repeated rows count as
+    often as they stand and get equal results; a null id is the empty text in folds. Without training rows every word
+    is unknown, train_tokens is 0 and base_score is the sum's limit, log10(0.5 / 0.5) = 0. An empty table gives an
+    empty table. Other columns, whatever their names, are not read.
     """
     if not 2 <= depth <= 6:
         raise ValueError("depth must be 2 to 6")

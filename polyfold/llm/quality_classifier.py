@@ -120,8 +120,10 @@ def fit(stats: DataFrame, labels: DataFrame, fold: int = 4, held: int = 2, size:
 def classify(docs: DataFrame, labels: DataFrame, accept_at: float = 0.7, fold: int = 4, held: int = 2, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", row_col: str | None = None, **options) -> DataFrame:
     """doc_id, held_out, score and predicted (1 if score >= accept_at) of every row of docs.
 
-    Null and empty texts have zero statistics and a score like any other; so have very long ones. Repeated
-    rows give repeated rows. An empty table gives an empty table. Only statistics of the text enter a score.
+    Null and empty texts have zero statistics and a score like any other; very long ones count whole. Repeated
+    rows give repeated rows, and a null id is the empty text in folds. Of several labels of one id the largest counts; labels
+    without an id or a value don't, and without any all scores are 0.5. A score of exactly accept_at is 1. An
+    empty table gives an empty table. Only statistics of the text enter a score; other columns are not read.
     row_col: a long column of docs that results carry as well, to tell rows with one id apart.
     """
     spark = docs.sparkSession

@@ -282,7 +282,9 @@ def read_segments(segments: DataFrame, with_ids: bool = False) -> DataFrame:
 def token_files(docs: DataFrame, tokenizer: str | None = None, end: int = 2, with_ids: bool = False, **columns) -> DataFrame:
     """Encodes docs, writes the segments, reads them back: doc_id, start, n_tokens, ids_crc32 of every row.
 
-    Null and empty texts have the end id only. Very long texts are whole. Rows that repeat an id stand side by
-    side. An empty table gives an empty table. A damaged segment raises an error.
+    Null and empty texts have the end id only. Very long texts are whole, in a segment of their own. Null ids come
+    first; rows that repeat an id stand side by side, by a hash of their texts, and equal rows give equal rows but for start. An
+    empty table gives an empty table. Other columns are not read. A damaged segment raises an error, and so does an
+    id of 65,535 or more.
     """
     return read_segments(write_segments(docs, tokenizer or default_tokenizer(), end, **columns), with_ids)
