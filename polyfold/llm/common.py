@@ -22,6 +22,9 @@ from pyspark.sql import functions as F
 U64 = np.uint64
 #: Rows that reach Python at once where texts do.
 ROWS_PER_BATCH = 2000
+#: Bytes of wide rows in an Arrow batch; in a row group (compressed).
+WIDE_BYTES = 8 << 20
+WIDE = {"parquet.block.size": 2 << 20, "parquet.block.size.row.check.min": 1, "parquet.page.size.row.check.min": 1}
 #: Bytes of text handled at once; a longer document is a piece of its own.
 PIECE_BYTES = 1 << 20
 #: Span hashes are polynomials modulo the Mersenne prime 2**31 - 1, at two random points (LANES): modulo a power of two
@@ -247,20 +250,24 @@ def scratch_dir(spark: SparkSession) -> str:
 _left: dict[str, tuple[SparkSession, int]] = {}
 
 
-def written(df: DataFrame, spark: SparkSession) -> DataFrame:
+def written(df: DataFrame, spark: SparkSession, wide: int = 0) -> DataFrame:
     """df as a Parquet table in the shared folder: lineage ends here and lost executors cost no recomputation.
 
-    Shuffles that made it are deleted at once; the table itself by discard(), or when Python ends.
+    Shuffles that made it are deleted at once; the table itself by discard(), or when Python ends. wide: for rows of
+    some MB, how many of them a row group may hold, and Arrow batches are small: by default Parquet looks at sizes every
+    100 rows only, and what Spark reads at once is a row group.
     """
     path = f"{scratch_dir(spark)}/polyfold-{uuid.uuid4().hex}"
     _left[path] = spark, threading.get_ident()
     rows = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
     conf = {"spark.sql.execution.arrow.maxRecordsPerBatch": str(min(int(rows), ROWS_PER_BATCH)), "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}  # rows may be long texts
+    if wide:
+        conf["spark.sql.execution.arrow.maxBytesPerBatch"] = str(WIDE_BYTES)
     before = {k: spark.conf.get(k) for k in conf}
     for k, v in conf.items():
         spark.conf.set(k, v)
     try:
-        df.write.option("compression", "zstd").parquet(path)
+        df.write.options(compression="zstd", **(WIDE | {"parquet.block.row.count.limit": wide} if wide else {})).parquet(path)
     finally:
         for k, v in before.items():
             spark.conf.set(k, v)

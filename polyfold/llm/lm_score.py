@@ -381,12 +381,12 @@ def score_documents(docs: DataFrame, fold: int = 5, held: int = 1, id_col: str =
     spark = docs.sparkSession
     at = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
     at = at.withColumn("train", C.crc_fold("doc_id", fold) != held)
-    chunks = C.written(packed(at), spark)
+    chunks = C.written(packed(at), spark, wide=4)
     # Words: totals over all chunks, and back to each chunk the totals of its own words.
     listed = _unpack("vocab", "counts", np.uint64, "chunk long, k long, i int, c long")(chunks)
     totals = C.written(listed.where("c > 0").groupBy("k").agg(F.sum("c").alias("total")), spark)
     sums = totals.agg(F.coalesce(F.sum("total"), F.lit(0)), F.count("*")).first()
-    trained, size = chunks.agg(F.coalesce(F.sum("trained"), F.lit(0)), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    trained, size = chunks.agg(F.coalesce(F.sum("trained"), F.lit(0)), F.coalesce(F.sum(F.aggregate("bytes", F.lit(0).cast("long"), lambda x, y: x + y)), F.lit(0))).first()
     n_all, v_all = sums[0] + trained, sums[1] + (trained > 0)
     norm = n_all + 0.5 * (v_all + 1)
     back = listed.select("chunk", "k", "i").join(totals, "k").select("chunk", "i", "total")
@@ -420,7 +420,7 @@ def score_documents(docs: DataFrame, fold: int = 5, held: int = 1, id_col: str =
     want_words = to_arrow_schema(_parse_datatype_string(schema))
     tasks = max(1, -(-size // CHUNK_BYTES))  # about a chunk each, whatever the input
     by_chunk = lambda d: d.repartition(tasks, "chunk").groupBy("chunk")
-    back = C.written(by_chunk(chunks.select("chunk", "bytes", "text")).cogroup(by_chunk(back)).applyInArrow(known, schema), spark)
+    back = C.written(by_chunk(chunks.select("chunk", "bytes", "text")).cogroup(by_chunk(back)).applyInArrow(known, schema), spark, wide=4)
     C.discard(totals)
     back = back.select("*", F.lit(None).cast("long").alias("group"), F.lit(None).cast("binary").alias("logs"))
     # Bytes: at most 2**24 triples and as many bit nodes reach the driver.
@@ -434,7 +434,7 @@ def score_documents(docs: DataFrame, fold: int = 5, held: int = 1, id_col: str =
             _, nodes, sums = subtrees(*_group(t["runs"], t["runs_n"])[1:], depth)
             return pa.table({"group": [t["group"][0].as_py()], "chunks": [t["chunk"].to_pylist()], "runs": [t["runs"].to_pylist()], "runs_n": [t["runs_n"].to_pylist()], "node": [nodes.tobytes()], "sum": [sums.tobytes()]})
 
-        trees = C.written(_dealt(chunks, depth, groups).groupBy("group").applyInArrow(weigh, "group long, chunks array<long>, runs array<binary>, runs_n array<binary>, node binary, sum binary"), spark)
+        trees = C.written(_dealt(chunks, depth, groups).groupBy("group").applyInArrow(weigh, "group long, chunks array<long>, runs array<binary>, runs_n array<binary>, node binary, sum binary"), spark, wide=4)
 
         def unpacked(batch: pa.RecordBatch):
             for k, v in zip(batch.column("node"), batch.column("sum")):
@@ -451,7 +451,8 @@ def score_documents(docs: DataFrame, fold: int = 5, held: int = 1, id_col: str =
                 logs = run_logs(sent.value, keys, subtrees(keys, counts, depth)[0], depth).astype(np.float32)
                 yield {"chunk": chunk, "group": [group] * len(chunk), "logs": pa.array([_planes(logs[np.searchsorted(keys, x)]) for x in runs], pa.binary())}
 
-        got = C.arrow_map(trees.select("group", "chunks", "runs", "runs_n"), mixed, "chunk long, group long, logs binary")
+        got = C.written(C.arrow_map(trees.select("group", "chunks", "runs", "runs_n"), mixed, "chunk long, group long, logs binary"), spark, wide=1000)
+        C.discard(trees)
         back = back.unionByName(got, allowMissingColumns=True)
 
     def scored(left: pa.Table, right: pa.Table) -> pa.Table:

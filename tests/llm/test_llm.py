@@ -1,5 +1,6 @@
 import hashlib
 import math
+import pathlib
 import random
 import re
 import zlib
@@ -650,3 +651,25 @@ def test_strings_hash_by_their_bytes():
     end = np.cumsum([len(t.encode()) for t in [*texts, *texts]])
     h = C.string_hash(data, np.concatenate([[0], end[:-1]]), end)
     assert (h[: len(texts)] == h[len(texts) :]).all() and len(set(h.tolist())) == len(texts)
+
+
+def test_row_groups_of_chunks_are_small(spark, monkeypatch):
+    """However many chunks and groups of runs a task has, Spark reads a few of them at once (a row group)."""
+    import pyarrow.parquet as pq
+
+    groups = []
+
+    def written(df, *args, **kw):
+        out = write(df, *args, **kw)
+        for f in pathlib.Path(out._polyfold_path.removeprefix("file://")).glob("*.parquet"):
+            m = pq.ParquetFile(f).metadata
+            groups.extend((tuple(df.columns), m.row_group(i).num_rows, m.row_group(i).total_byte_size) for i in range(m.num_row_groups))
+        return out
+
+    write = C.written
+    monkeypatch.setattr(C, "written", written)
+    docs = spark.range(0, 6, 1, 1).selectExpr("id as doc_id", "repeat(concat('some words of text ', id, ' '), 430000) as text")
+    assert lm_score.score_documents(docs, depth=3).count() == 6
+    assert sum(n for c, n, _ in groups if "vocab" in c) == 6
+    assert max(n for c, n, _ in groups if "text" in c or "runs" in c) <= 4
+    assert max(size for _, _, size in groups) < 40 << 20
